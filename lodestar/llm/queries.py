@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, media, quality, warc
+from lodestar.llm import bpe, exact, media, quality, warc
 from lodestar.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.suffix_dedup(table(spark, sf_dir, "documents"), keep_first=False, with_text=False)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,13 +33,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenizer_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.window_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(table(spark, sf_dir, "documents"))
     return media.read_media(stored).drop("error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality_classifier, op4_warc, op5_bpe, op8_media_jpeg]
+    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op8_media_jpeg]
     return {f.__name__: f for f in own}
 
 

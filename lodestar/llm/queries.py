@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, exact, media, quality, warc
+from lodestar.llm import bpe, exact, media, quality, tokenfiles, warc
 from lodestar.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(stored).drop("error")
 
 
+def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op8_media_jpeg]
+    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op8_media_jpeg, op10_repair_token_files]
     return {f.__name__: f for f in own}
 
 

@@ -31,7 +31,7 @@ from lodestar.llm.common import clean_docs
 #: Fixed values of the file format: how byte-level files split texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a memory of pieces; it starts anew when it is full.
-MEMORY = 150_000
+MEMORY = 500_000
 #: Longer pieces are encoded as they come and not remembered.
 REMEMBERED = 48
 #: Ids that are hashed and decoded at a time.
@@ -144,7 +144,7 @@ class Bpe:
                 x_until, x = rank[x], self.right[x]
             else:
                 y_until, y = rank[y], self.left[y]
-        if len(self._follows) > 8 * MEMORY:
+        if len(self._follows) > 2 * MEMORY:
             self._follows.clear()
         self._follows[key] = fine
         return fine

@@ -59,7 +59,7 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         memory = self.memory
-        if len(memory) > 3 * MEMORY:
+        if len(memory) > 2 * MEMORY:
             memory.clear()
         split = [None if any(s in t for s in self.special) else independent_pieces(t) for t in texts]
         found = [None if p is None else list(map(memory.get, p)) for p in split]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, exact, media, quality, tokenfiles, warc
+from lodestar.llm import bpe, exact, media, pivots, quality, tokenfiles, warc
 from lodestar.llm.common import table
 
 
@@ -37,6 +38,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.window_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(table(spark, sf_dir, "documents"))
     return media.read_media(stored).drop("error")
@@ -47,12 +52,19 @@ def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op8_media_jpeg, op10_repair_token_files]
+    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op7_pivot_top_k, op8_media_jpeg, op10_repair_token_files]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_pivot_top_k": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS DOUBLE)) AS code FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.code, c.code) AS BIGINT) AS score
+                  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.code) = len(c.code) WHERE q.vec_id % 20 = 0),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op4_warc": """
             WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
             h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, exact, media, pivots, quality, tokenfiles, warc
+from lodestar.llm import bpe, exact, jaccard, media, mixing, pivots, quality, tokenfiles, warc
 from lodestar.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -47,12 +51,20 @@ def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(stored).drop("error")
 
 
+#: The mixture of op9: languages by given shares, sources and topics tempered; four fifths of the tokens stay.
+MIXTURE = mixing.Targets(given={"lang": {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}})
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "draw", "kept")
+
+
 def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_array_dedup, op2_quality_classifier, op4_warc, op5_bpe, op6_substring_dedup, op7_pivot_top_k, op8_media_jpeg, op10_repair_token_files]
+    own = [op1_suffix_array_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_warc, op5_bpe, op6_substring_dedup, op7_pivot_top_k, op8_media_jpeg, op9_mixing, op10_repair_token_files]
     return {f.__name__: f for f in own}
 
 

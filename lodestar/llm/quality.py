@@ -142,6 +142,25 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int, threshol
     )
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, that score threshold or more; one pass, and no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    least = float(np.log(threshold / (1 - threshold))) - bias
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            data, offsets = text_column(batch.select([at]))
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                places, values = features(data[offsets[i] : offsets[i + 1]], s.bits)
+                good[i] = w[places] @ values >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Train on the labelled rows that aren't held out, and score every document."""
     weights, bias = train(training_rows(docs, labels, settings), settings)

@@ -1,7 +1,7 @@
 """Every query against its SQL; those without SQL give rows of a stable schema."""
 
 import pytest
-from conftest import SF, same_as_sql
+from helpers import SF, same_as_sql
 
 from lodestar.plans import oracle
 from lodestar.plans.queries import QUERIES

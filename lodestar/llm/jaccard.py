@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import lower_ascii, run_hashes, shuffle_partitions, span_hashes, stored, word_spans
 from lodestar.llm.graph import components
-from lodestar.llm.repeats import _CHUNKS, BUCKET_BYTES, NULL_ID, Chunk, open_chunk, pack_chunks, rows_of
+from lodestar.llm.repeats import _CHUNKS, BUCKET_BYTES, NULL_ID, Chunk, open_chunk, pack_chunks, ranges, rows_of
 
 N = 5
 #: The least similarity, in hundredths.
@@ -301,7 +301,7 @@ class PrefixTree:
         found = []
         while len(front):
             counts = self.kid_cut[front + 1] - self.kid_cut[front]
-            nodes = self.kids[_ranges(self.kid_cut[front], counts)]
+            nodes = self.kids[ranges(self.kid_cut[front], counts)]
             have = np.repeat(shared, counts)
             if skip is not None:
                 keep = ~skip[nodes]
@@ -309,7 +309,7 @@ class PrefixTree:
             if not len(nodes):
                 break
             run = self.run[nodes]
-            hits = np.concatenate([[0], np.cumsum(member[self.tokens[_ranges(self.at[nodes], run)]])])
+            hits = np.concatenate([[0], np.cumsum(member[self.tokens[ranges(self.at[nodes], run)]])])
             stop = np.cumsum(run)
             have = have + hits[stop] - hits[stop - run]
             left = size - np.searchsorted(own, self.last[nodes], "right")
@@ -325,12 +325,6 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers of [s, s + c) for all pairs, one range after the other."""
-    stop = np.cumsum(counts)
-    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts - (stop - counts), counts)
-
-
 def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect the classes of similar sets (enough of them to connect, not all within a class)."""
     every, counts = np.unique(np.concatenate(sets), return_counts=True)

@@ -35,9 +35,10 @@ NULL_ID = np.iinfo(np.int64).max
 BUCKET_BYTES = 4 << 20
 #: Bytes of different super-k-mers that a bucket compares at a time, if a single minimiser doesn't have more.
 BATCH_BYTES = 1 << 20
-#: Hash bits and place bits of the keys whose minimum is a minimiser; blocks of windows are smaller than the places.
-PLACE_BITS = 21
-BLOCK = 1 << 20
+#: Hash bits and place bits of the keys whose minimum is a minimiser. Blocks of windows stay in a core's cache, and are
+#: smaller than the places.
+PLACE_BITS = 16
+BLOCK = 1 << 15
 
 CHUNKS = "gid long, ids binary, ends binary, raw_bytes long, body binary, carried binary"
 _CHUNKS = pa.schema([("gid", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("raw_bytes", pa.int64()), ("body", pa.binary()), ("carried", pa.binary())])
@@ -129,10 +130,12 @@ class Units:
         """Byte starts and ends of the units, the document of each, and the hashes of the k-mers."""
         data = chunk.data
         if not self.words:
-            starts = np.arange(len(data))
-            doc = np.repeat(np.arange(len(chunk.ids)), np.diff(chunk.ends, prepend=0))
-            value = _BYTE_VALUES[data]
-            return starts, starts + 1, doc, _byte_kmers(value, self.k)
+            starts = np.arange(len(data) + 1)
+            doc = np.repeat(np.arange(len(chunk.ids), dtype=np.int32), np.diff(chunk.ends, prepend=0))
+            hashes = np.empty(max(0, len(data) - self.k + 1), np.uint64)
+            for b in range(0, len(hashes), BLOCK):
+                hashes[b : b + BLOCK] = _byte_kmers(_BYTE_VALUES[data[b : b + BLOCK + self.k - 1]], self.k)
+            return starts[:-1], starts[1:], doc, hashes
         inside = np.ones(len(data) + 1, bool)
         inside[:-1] = data != 32
         first = np.zeros(len(data) + 1, bool)
@@ -145,7 +148,7 @@ class Units:
         last[chunk.ends] = True
         breaks = np.flatnonzero(last)
         ends = breaks[np.searchsorted(breaks, starts, "right")]
-        doc = np.searchsorted(chunk.ends, starts, "right")
+        doc = np.searchsorted(chunk.ends, starts, "right").astype(np.int32)
         return starts, ends, doc, run_hashes(span_hashes(data, starts, ends), self.k)
 
 
@@ -175,8 +178,10 @@ class Segments:
     doc: np.ndarray
     width: int
 
-    def text(self, data: bytes, i: int) -> bytes:
-        return data[self.starts[self.first[i]] : self.ends[self.first[i] + self.count[i] + self.width - 2]]
+    def texts(self, data: bytes, which: np.ndarray) -> list[bytes]:
+        """The strings of some segments."""
+        first = self.first[which]
+        return [data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first + self.count[which] + self.width - 2].tolist())]
 
 
 def segments(chunk: Chunk, units: Units) -> Segments:
@@ -186,7 +191,7 @@ def segments(chunk: Chunk, units: Units) -> Segments:
     none = np.zeros(0, np.int64)
     if n <= 0:
         return Segments(none, none, none.astype(np.uint64), starts, ends, doc, units.width)
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     keep = np.uint64((1 << 64) - (1 << PLACE_BITS))
     for b in range(0, n, BLOCK):
         m = min(BLOCK, n - b)
@@ -197,7 +202,7 @@ def segments(chunk: Chunk, units: Units) -> Segments:
             reach *= 2
         if reach < span:
             low = np.minimum(low[:m], low[span - reach : span - reach + m])
-        place[b : b + m] = (low[:m] & ~keep).astype(np.int64) + b
+        place[b : b + m] = (low[:m] & ~keep).astype(np.int32) + np.int32(b)
     whole = doc[:n] == doc[units.width - 1 :]
     change = np.ones(n, bool)
     change[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
@@ -208,6 +213,12 @@ def segments(chunk: Chunk, units: Units) -> Segments:
     return Segments(first, count, hashes[place[first]], starts, ends, doc, units.width)
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of [s, s + c) for all pairs, one range after the other."""
+    stop = np.cumsum(counts, dtype=np.int64)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts - (stop - counts), counts)
+
+
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the entries by bucket and key, and the border of each bucket in that order."""
     bucket = keys % np.uint64(buckets)
@@ -282,7 +293,7 @@ def _different(chunk: Chunk, s: Segments, wanted: np.ndarray, buckets: int) -> D
     order = np.lexsort((offset, chunk.ids[s.doc[s.first[chosen]]])) if len(chosen) else chosen
     chosen = chosen[order]
     number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(s.text(data, i), len(number)) for i in chosen.tolist()], np.int64)
+    which = np.array([number.setdefault(t, len(number)) for t in s.texts(data, chosen)], np.int64)
     _, head = np.unique(which, return_index=True)
     counts = np.bincount(which, minlength=len(number))
     sent, borders = _by_bucket(s.minimiser[chosen[head]] if len(head) else np.zeros(0, np.uint64), buckets)
@@ -313,7 +324,7 @@ def _send_segments(units: Units, buckets: int) -> Callable:
             for b in np.flatnonzero(np.diff(d.borders)):
                 sent = slice(d.borders[b], d.borders[b + 1])
                 own = d.head[sent]
-                texts = [s.text(data, i) for i in own]
+                texts = s.texts(data, own)
                 head = np.zeros(len(own), _HEAD)
                 docs = s.doc[s.first[own]]
                 head["minimiser"], head["count"], head["twice"] = s.minimiser[own], s.count[own], d.twice[sent]
@@ -361,8 +372,15 @@ def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table],
             firsts = entries[np.unique(which, return_index=True)[1]]
             counts = head["count"][firsts]
             total = np.bincount(which, 1 + head["twice"][entries], minlength=len(number))
-            earlier, later = compare(list(number), counts)
-            border = np.concatenate([[0], np.cumsum(counts)])
+            border = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            # windows of one super-k-mer differ, as the minimiser stands elsewhere in each: one without others has no match
+            _, own, company = np.unique(head["minimiser"][firsts], return_inverse=True, return_counts=True)
+            some = np.flatnonzero(company[own] > 1)
+            earlier, later = np.zeros(border[-1], bool), np.zeros(border[-1], bool)
+            if len(some):
+                strings = list(number)
+                at_windows = ranges(border[some], counts[some])
+                earlier[at_windows], later[at_windows] = compare([strings[i] for i in some.tolist()], counts[some])
             for e, w in zip(entries.tolist(), which.tolist()):
                 f = firsts[w]
                 if keep_first:
@@ -396,23 +414,18 @@ def _apply(units: Units, buckets: int, keep_first: bool, finish: Finish) -> Call
                 marks[b0:b1] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=int(b1 - b0))
             edges = np.zeros(len(s.starts) + 1, np.int32)
             if len(d.chosen):
-                docs = s.doc[s.first[d.chosen]]
-                ids, offset = chunk.ids[docs], s.first[d.chosen] - _doc_offsets(s, docs)
-                heads = np.empty(len(d.head), np.int64)
-                heads[d.which[::-1]] = np.arange(len(d.chosen))[::-1]  # the first entry of each string
-                h = heads[d.which]
-                later = (ids != ids[h]) | (offset != offset[h])
-                for i, (seg, w) in enumerate(zip(d.chosen.tolist(), d.which.tolist())):
-                    first, n = s.first[seg], s.count[seg]
-                    if keep_first and later[i]:
-                        on = np.arange(n)
-                    else:
-                        on = np.flatnonzero(marks[border[w] : border[w + 1]])
-                    if len(on):
-                        # runs of marked windows cover runs of units
-                        cut = np.flatnonzero(np.diff(on) > 1)
-                        edges[first + on[np.concatenate([[0], cut + 1])]] += 1
-                        edges[np.minimum(first + on[np.concatenate([cut, [len(on) - 1]])] + units.width, len(s.starts))] -= 1
+                first, n = s.first[d.chosen], s.count[d.chosen]
+                on = marks[ranges(border[d.which], n)]
+                if keep_first:
+                    docs = s.doc[first]
+                    ids, offset = chunk.ids[docs], first - _doc_offsets(s, docs)
+                    heads = np.empty(len(d.head), np.int64)
+                    heads[d.which[::-1]] = np.arange(len(d.chosen))[::-1]  # the first entry of each string
+                    h = heads[d.which]
+                    on |= np.repeat((ids != ids[h]) | (offset != offset[h]), n)  # not its string's first place
+                window = ranges(first, n)[on]
+                edges[window] += 1  # segments share no windows
+                edges[window + units.width] -= 1
             yield finish(chunk, s, np.cumsum(edges[:-1]) > 0)
 
     return run
@@ -427,8 +440,8 @@ def remove_repeats(docs: DataFrame, what: str, units: Units, compare: Compare, k
     reply = "gid long, bucket int, mask binary"
     sent = chunks.mapInArrow(_send_minimisers(units, buckets), "bucket int, gid long, keys binary, twice binary")
     again = stored(gathered(sent.groupBy("bucket").applyInArrow(_answer_minimisers, reply), "again"), f"{what}-again")
-    asked = chunks.join(again, "gid").select(*_CHUNKS.names, "again")
+    asked = chunks.join(again.hint("merge"), "gid").select(*_CHUNKS.names, "again")
     strings = asked.mapInArrow(_send_segments(units, buckets), "bucket int, gid long, n int, packed binary")
     marks = stored(gathered(strings.groupBy("bucket").applyInArrow(_answer_segments(compare, keep_first), reply), "marks"), f"{what}-marks")
-    done = chunks.join(again, "gid", "left").join(marks, "gid", "left").select(*_CHUNKS.names, "again", "marks")
+    done = chunks.join(again.hint("merge"), "gid", "left").join(marks.hint("merge"), "gid", "left").select(*_CHUNKS.names, "again", "marks")
     return done.mapInArrow(_apply(units, buckets, keep_first, finish), schema)

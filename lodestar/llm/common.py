@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,12 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.plans.ship import ship
+
 #: Odd 64-bit constants: the base of the polynomial hash and the steps of the finaliser.
 BASE = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MASK = (1 << 64) - 1
 #: Raw bytes that one numpy pass works on at most (a longer single text is one pass).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+
+#: By application, where spark.checkpoint.dir is unset.
+_OWN_ROOT: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    ship(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        root = _OWN_ROOT[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+    # with its scheme, so that Spark and the tasks that write files themselves mean the same place
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full[5:] if re.match("file:/[^/]", full) else full
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -49,6 +61,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def clean_docs(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns to keep; extra columns go, whatever their names."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -56,6 +69,13 @@ def clean_docs(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept for later tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- numpy hashing
 
 

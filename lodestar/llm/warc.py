@@ -70,7 +70,7 @@ def _member(record: bytes) -> bytes:
 
 def put_file(folder: str, name: str, body: bytes) -> None:
     """Write a file of shared storage (a local or cluster URI) under a name of its own, then move it into place."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     ctx = TaskContext.get()
     draft = f"{path}/.{name}.{ctx.taskAttemptId() if ctx else 0}"

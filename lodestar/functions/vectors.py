@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def literal(values: Sequence) -> Column:
+    """An array of doubles, or of arrays of them, as one constant: planning and generated code stay small."""
+    depth, inner = 1, values
+    while len(inner) and isinstance(inner[0], (list, tuple, np.ndarray)):
+        depth, inner = depth + 1, inner[0]
+    flat = np.asarray(values, np.float64)
+    if flat.size and np.isfinite(flat).all():
+        return F.from_json(F.lit(json.dumps(flat.tolist())), "array<" * depth + "double" + ">" * depth)
+    return F.array(*[literal(v) if depth > 1 else F.lit(float(v)) for v in values]).cast("array<" * depth + "double" + ">" * depth)
 
 
 def doubles(v: Column) -> Column:

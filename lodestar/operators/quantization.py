@@ -140,7 +140,7 @@ def decode(codes: DataFrame, book: Codebook, key: str = "id") -> DataFrame:
     if not book.trained:
         return codes.select(key, vectors.dequantize(F.col("codes")).alias("embedding"))
     m = len(book.centroids)
-    table = F.array(*[F.array(*[vectors.literal(c) for c in part]) for part in book.centroids])
+    table = vectors.literal(book.centroids)
     parts = F.transform(F.col("codes"), lambda c, s: F.coalesce(F.try_element_at(F.element_at(table, s + 1), c.cast("int") + 1), F.array().cast("array<double>")))
     return codes.select(key, F.when(F.size("codes") == m, F.flatten(parts)).otherwise(vectors.dequantize(F.col("codes"))).alias("embedding"))
 
@@ -158,7 +158,7 @@ def search_codes(codes: DataFrame, book: Codebook, query: Sequence[float], k: in
         score = vectors.dot(vectors.dequantize(F.col("codes")), vectors.literal(q))
     else:
         table = [part @ piece for part, piece in zip(book.centroids, np.split(q, len(book.centroids)))]
-        lookup = F.array(*[vectors.literal(t) for t in table])
+        lookup = vectors.literal(table)
         score = F.aggregate(F.transform(F.col("codes"), lambda c, s: F.element_at(F.element_at(lookup, s + 1), c.cast("int") + 1)), F.lit(0.0), lambda a, x: a + x)
     top = codes.select(key, score.alias("dot")).orderBy(F.desc("dot"), key).limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("dot"), key))

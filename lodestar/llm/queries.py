@@ -56,7 +56,7 @@ MIXTURE = mixing.Targets(given={"lang": {"en": 0.4, "fr": 0.2, "de": 0.2, "es":
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "draw", "kept")
+    return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE, keep=["doc_id", "source", "lang"])
 
 
 def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,37 +52,76 @@ def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["code"] for r in rows], np.float64)
 
 
+def upper_bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """No inner product of a query and a candidate is over its entry here.
+
+    With the component sqrt(top - |x|^2) more, all candidates have length sqrt(top); queries and pivots have 0 there. So
+    |q - x|^2 = |q|^2 + top - 2qx, and no distance is under the largest difference of distances to a pivot.
+    """
+    top = float((x * x).sum(axis=1).max(initial=0))
+    q2, p2 = (q * q).sum(axis=1), (pivots * pivots).sum(axis=1)
+    table = np.sqrt(np.maximum(top + p2 - 2 * x @ pivots.T, 0)).astype(np.float32)
+    to_pivots = np.sqrt(np.maximum(q2[:, None] + p2 - 2 * q @ pivots.T, 0)).astype(np.float32)
+    bound = np.zeros((len(q), len(x)), np.float32)
+    step = np.empty_like(bound)
+    for p in range(len(pivots)):
+        np.subtract(table[None, :, p], to_pivots[:, None, p], out=step)
+        np.abs(step, out=step)
+        np.maximum(bound, step, out=bound)
+    # single precision can be wrong by a few units of 2**-23 of the largest distance
+    far = float(max(table.max(initial=0), to_pivots.max(initial=0)))
+    bound = np.maximum(bound - np.float32(far * 2.0**-20), 0)
+    return ((q2[:, None] + top).astype(np.float64) - bound.astype(np.float64) ** 2) / 2 + 1e-6 * (1 + top + float(q2.max(initial=0)))
+
+
+def _whole_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2**23:
+        return (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
+    if most < 2**52:
+        return (q @ x.T).astype(np.int64)
+    return np.array([[sum(int(u) * int(v) for u, v in zip(a, b)) for b in x] for a in q], object).reshape(len(q), len(x))
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vec_id, score) of the best k candidates of each query, ties to smaller ids. Codes are whole numbers."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52
-    long = (x * x).sum(axis=1)
-    top = long.max(initial=0)
-    # the extra component of a candidate is sqrt(top - long); queries and pivots have 0 there
-    p2 = (pivots * pivots).sum(axis=1)
-    # |x - p|^2 = |x|^2 + extra^2 + |p|^2 - 2xp, and |x|^2 + extra^2 = top
-    table = np.sqrt(np.maximum(top + p2 - 2 * x @ pivots.T, 0))
-    q2 = (q * q).sum(axis=1)
-    to_pivots = np.sqrt(np.maximum(q2[:, None] + p2 - 2 * q @ pivots.T, 0))
+    """(query, vec_id, score) of the best k candidates of each query, ties to smaller ids. Codes are whole numbers.
+
+    The STEP candidates of the highest bounds are evaluated first; then, of the queries that still have any, all whose
+    bound reaches the k-th score so far. What is left can't be among the best k.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    most = upper_bounds(q, x, pivots)
+    most[q_ids[:, None] == ids[None, :]] = -np.inf
+    n = len(x)
     out: list[tuple[int, int, int]] = []
-    slack = 1e-9 * (top + q2.max(initial=0) + p2.max(initial=0)) + 1e-6
-    for i in range(len(q)):
-        bound = np.zeros(len(x))
-        for p in range(len(pivots)):
-            np.maximum(bound, np.abs(table[:, p] - to_pivots[i, p]), out=bound)
-        most = (q2[i] + top - bound * bound) / 2 + slack  # no candidate's score is higher
-        most[ids == q_ids[i]] = -np.inf
-        order = np.argsort(-most, kind="stable")
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for a in range(0, len(order), STEP):
-            some = order[a : a + STEP]
-            some = some[most[some] > -np.inf]
-            if not len(some) or len(best_s) == k and most[some[0]] < best_s[-1]:
-                break
-            s = x[some] @ q[i] if exact else np.array([sum(int(u) * int(v) for u, v in zip(x[c], q[i])) for c in some], object)
-            s, c = np.concatenate([best_s, s]), np.concatenate([best_i, some])
-            first = np.lexsort((ids[c], -s))[:k] if exact else sorted(range(len(s)), key=lambda j: (-s[j], ids[c[j]]))[:k]
-            best_s, best_i = s[first], c[first]
-        out += [(int(q_ids[i]), int(ids[c]), int(s)) for s, c in zip(best_s, best_i)]
+    if n > 4 * max(STEP, k):
+        first = np.argpartition(-most, STEP - 1, axis=1)[:, : max(STEP, k)]
+        scores = np.einsum("qd,qkd->qk", q, x[first])
+        scores[np.take_along_axis(most, first, axis=1) == -np.inf] = -np.inf
+        enough = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        slack = 1e-9 * np.abs(enough, where=np.isfinite(enough), out=np.zeros_like(enough))
+        left = most >= (enough - slack)[:, None]
+        np.put_along_axis(left, first, np.take_along_axis(most, first, axis=1) > -np.inf, axis=1)
+    else:
+        left = most > -np.inf
+    counts = left.sum(axis=1)
+    dense = counts * 4 > n
+    for rows in (np.flatnonzero(dense), *[np.array([i]) for i in np.flatnonzero(~dense)]):
+        if not len(rows):
+            continue
+        columns = np.arange(n) if dense[rows[0]] else np.flatnonzero(left[rows[0]])
+        found = _whole_products(q[rows], x[columns])
+        for i, s in zip(rows.tolist(), found):
+            at = np.flatnonzero(left[i][columns])
+            s = s[at]
+            if s.dtype != object and len(s) > 4 * k:
+                edge = np.partition(s, len(s) - k)[len(s) - k]
+                near = np.flatnonzero(s >= edge)
+                at, s = at[near], s[near]
+            best = sorted(range(len(s)), key=lambda j: -s[j])[:k]  # stable: smaller ids first
+            out += [(int(q_ids[i]), int(ids[columns[at[j]]]), int(s[j])) for j in best]
     return out
 
 

@@ -39,7 +39,7 @@ BLOCK = 1 << 16
 
 #: White space next to white space (or at an end) joins tokens across a single blank; these separators differ between regex engines.
 _RUN = re.compile(r"\s\s+")
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+_ODD = re.compile("[\0\x1c-\x1f\x85᠎​﻿]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,8 +54,7 @@ def independent_pieces(text: str) -> list[str] | None:
     if _ODD.search(text):
         return None
     if not _RUN.search(text) and not text[:1].isspace() and not text[-1:].isspace():
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else []
+        return _cut(text) if text else []
     out: list[str] = []
     at, lead = 0, ""
     for run in _RUN.finditer(text + "\0"):  # the sentinel keeps white space at the end from looking like a separator
@@ -77,17 +76,18 @@ def independent_pieces(text: str) -> list[str] | None:
     return [x for x in out if x]
 
 
+def _cut(text: str) -> list[str]:
+    """Cuts before single blanks and around single line breaks; text has no NUL and no other white space beside them."""
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 def _words(body: str) -> list[str]:
     """body has white space only singly, and none at its end; a first blank belongs to the first word."""
     if not body:
         return []
-    first = ""
-    if body[0].isspace():
-        if body[0] != " ":
-            return [body[0], *_words(body[1:])]
-        first, body = " ", body[1:]
-    head, *rest = body.split(" ")
-    return [first + head, *[" " + x for x in rest]]
+    if body[0].isspace() and body[0] != " ":
+        return [body[0], *_words(body[1:])]
+    return _cut(body)
 
 
 class Bpe:
@@ -249,17 +249,14 @@ class Bpe:
         memory = self._memory
         for k in range(0, len(pieces), 8192):
             some = pieces[k : k + 8192]
-            packed = list(map(memory.get, some))
-            if None in packed:
-                if len(memory) > MEMORY:
-                    memory.clear()
-                for i, got in enumerate(packed):
-                    if got is None:
-                        piece = some[i]
-                        packed[i] = got = memory.get(piece) or self._piece(piece)
-                        if len(piece) <= REMEMBERED:
-                            memory[piece] = got
-            yield np.frombuffer(b"".join(packed), np.uint32)
+            if len(memory) > MEMORY:
+                memory.clear()
+            fresh = set(some).difference(memory)
+            memory.update([(x, self._piece(x)) for x in fresh])
+            yield np.frombuffer(b"".join(map(memory.__getitem__, some)), np.uint32)
+            for x in fresh:
+                if len(x) > REMEMBERED:
+                    del memory[x]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for block in self.encode_blocks(text) for i in block]

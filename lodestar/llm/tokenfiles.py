@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,15 @@ from lodestar.llm.repeats import NULL_ID
 from lodestar.llm.warc import put_file
 
 END_ID = 2
-SHARD_IDS = 1 << 20
-ROUNDS = 4
+SHARD_IDS = 1 << 19
+ROUNDS = 3
+#: Places of the table in which pairs are counted.
+PLACES = 1 << 18
 #: New symbols of a shard at most, if they fit in 16 bits with the vocabulary; and the least count of a pair.
 RULES, LEAST = 12_000, 8
 SAMPLE = 1024
+#: Signs that words often end with.
+SIGNS = frozenset(".,;:!?")
 MAGIC = b"RPIDS001"
 _HEAD = struct.Struct("<8sIIQQQB")
 
@@ -54,26 +59,27 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+        ends = list(accumulate(4 * len(x) for x in ids))
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         memory = self.memory
-        if len(memory) > 2 * MEMORY:
+        if len(memory) > MEMORY:
             memory.clear()
         split = [None if any(s in t for s in self.special) else independent_pieces(t) for t in texts]
-        found = [None if p is None else list(map(memory.get, p)) for p in split]
-        missing = list({x for p, f in zip(split, found) if f is not None and None in f for x, y in zip(p, f) if y is None})
-        fresh = dict(zip(missing, self._library(missing))) if missing else {}
-        memory.update((x, y) for x, y in fresh.items() if len(x) <= REMEMBERED)
+        fresh = set(chain.from_iterable(p for p in split if p is not None)).difference(memory)
+        # a single sign after a letter is a token of its own rule, so the word before it is asked for alone
+        signed = [x for x in fresh if len(x) > 1 and x[-1] in SIGNS and x[-2].isalpha()]
+        asked = list((fresh.difference(signed) | {x[:-1] for x in signed} | {x[-1] for x in signed}).difference(memory))
+        memory.update(zip(asked, self._library(asked)))
+        memory.update([(x, memory[x[:-1]] + memory[x[-1]]) for x in signed])
         whole = iter(self._library([t for t, p in zip(texts, split) if p is None]))
-        out = []
-        for p, f in zip(split, found):
-            if f is None:
-                raw = next(whole)
-            else:
-                raw = b"".join([fresh[x] if y is None else y for x, y in zip(p, f)] if fresh and None in f else f)
-            out.append(np.frombuffer(raw, np.uint32))
+        out = [np.frombuffer(next(whole) if p is None else b"".join(map(memory.__getitem__, p)), np.uint32) for p in split]
+        for x in {x for x in fresh.union(asked) if len(x) > REMEMBERED}:
+            del memory[x]
         return out
 
 
@@ -82,51 +88,64 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _replace(ids: np.ndarray, pri: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """ids with chosen pairs replaced. pri: at each position, the rank of the pair that begins there, large if none."""
-    none = np.iinfo(np.int32).max
-    keep = np.zeros(len(pri), bool)
+#: No pair begins at a position.
+NONE = np.int32(np.iinfo(np.int32).max)
+
+
+def _replace(ids: np.ndarray, pri: np.ndarray, base: int) -> np.ndarray:
+    """ids with chosen pairs replaced by base + rank. pri: the rank of the pair that begins at each position, or NONE.
+
+    Of pairs that overlap, the lower rank goes first, and of equal ranks the left one.
+    """
+    at = np.flatnonzero(pri != NONE)
+    keep = np.zeros(len(at), bool)
+    rank = pri[at]
     for _ in range(2):
-        left = np.concatenate([[none], pri[:-1]])
-        right = np.concatenate([pri[1:], [none]])
-        pick = (pri < none) & (pri < left) & (pri <= right)
+        touch = np.diff(at) == 1
+        left = np.concatenate([[NONE], np.where(touch, rank[:-1], NONE)])
+        right = np.concatenate([np.where(touch, rank[1:], NONE), [NONE]])
+        pick = (rank != NONE) & (rank < left) & (rank <= right)
         keep |= pick
         gone = pick.copy()
-        gone[1:] |= pick[:-1]
-        gone[:-1] |= pick[1:]
-        pri = np.where(gone, none, pri)
-    at = np.flatnonzero(keep)
+        gone[1:] |= pick[:-1] & touch
+        gone[:-1] |= pick[1:] & touch
+        rank = np.where(gone, NONE, rank)
+    at = at[keep]
     out = ids.copy()
-    out[at] = symbol[at]
+    out[at] = base + pri[at]
     stay = np.ones(len(ids), bool)
     stay[at + 1] = False
     return out[stay]
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols, and the rules (pairs of ids or earlier symbols) of base, base + 1, ..."""
-    symbols = ids.astype(np.int64)
+    """Symbols, and the rules (pairs of ids or earlier symbols) of base, base + 1, ...
+
+    Pairs are counted in a table of hashed places. A place counts for the pair that was put there last; another pair of
+    that place has its turn in a later round, when the first is gone.
+    """
+    symbols = ids.astype(np.int32)
     rules: list[np.ndarray] = []
     n_rules = 0
     for r in range(rounds):
         if len(symbols) < 2 or n_rules >= most:
             break
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        place = (symbols[:-1] * 40503 + symbols[1:]) & 0xFFFFF
-        rough = np.bincount(place, minlength=1 << 20)  # no pair has more than its place
-        likely = np.flatnonzero(rough[place] >= least)
-        keys, counts = np.unique(pairs[likely], return_counts=True)
-        quota = min(most - n_rules, most // rounds if r < rounds - 1 else most)
-        top = np.argsort(-counts, kind="stable")[:quota]
-        top = top[counts[top] >= least]
+        a, b = symbols[:-1], symbols[1:]
+        place = (a * np.int32(40503) ^ b * np.int32(-1640531527)) >> np.int32(9) & np.int32(PLACES - 1)
+        first, second = np.full(PLACES, -1, np.int32), np.full(PLACES, -1, np.int32)
+        first[place], second[place] = a, b
+        own = (first[place] == a) & (second[place] == b)
+        counts = np.bincount(place[own], minlength=PLACES)
+        quota = min(most - n_rules, -(-most // rounds) if r < rounds - 1 else most)
+        top = np.flatnonzero(counts >= least)
+        top = top[np.argsort(-counts[top], kind="stable")[:quota]]
         if not len(top):
             break
-        rank = np.full(len(keys), np.iinfo(np.int32).max, np.int64)
-        rank[top] = np.arange(len(top))
-        pri = np.full(len(pairs), np.iinfo(np.int32).max, np.int64)
-        pri[likely] = rank[np.searchsorted(keys, pairs[likely])]
-        rules.append(np.stack([keys[top] >> 32, keys[top] & 0xFFFFFFFF], axis=1))
-        symbols = _replace(symbols, pri, base + n_rules + pri)
+        rank = np.full(PLACES, NONE, np.int32)
+        rank[top] = np.arange(len(top), dtype=np.int32)
+        pri = np.where(own, rank[place], NONE)
+        rules.append(np.stack([first[top], second[top]], axis=1).astype(np.int64))
+        symbols = _replace(symbols, pri, base + n_rules)
         n_rules += len(top)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -143,14 +162,13 @@ def expansions(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    out = symbols
-    while len(rules) and (deep := out >= base).any():
-        size = 1 + deep
-        at = np.cumsum(size) - size
-        wide = np.empty(int(size.sum()), np.int64)
-        wide[at] = np.where(deep, rules[np.maximum(out - base, 0), 0], out)
-        wide[at[deep] + 1] = rules[out[deep] - base, 1]
-        out = wide
+    """The ids that the symbols stand for."""
+    out = symbols.astype(np.int32)
+    left, right = rules[:, 0].astype(np.int32), rules[:, 1].astype(np.int32)
+    while len(deep := np.flatnonzero(out >= base)):
+        rule = out[deep] - np.int32(base)
+        out[deep] = left[rule]
+        out = np.insert(out, deep + 1, right[rule])
     return out
 
 
@@ -195,16 +213,16 @@ class Shard:
         self.rules, self.lengths = rules.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols.astype(np.int64), self.rules, self.base)
+        return expand(self.symbols, self.rules, self.base)
 
     def read(self, start: int, n: int) -> np.ndarray:
         """n ids from start on; expands the symbols between two samples and no others."""
         stop = min(start + n, self.n_ids)
         if stop <= start:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         a = int(np.searchsorted(self.before, start, "right")) - 1
         b = int(np.searchsorted(self.before, stop, "left"))
-        some = self.symbols[a * SAMPLE : b * SAMPLE].astype(np.int64)
+        some = self.symbols[a * SAMPLE : b * SAMPLE]
         return expand(some, self.rules, self.base)[start - self.before[a] : stop - self.before[a]]
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.search import batch_knn
+
 # The generator of synthetic vectors.
 MULTIPLIER, INCREMENT, SEED = 6364136223846793005, 1, 42
 
@@ -25,6 +27,11 @@ def recall(found: DataFrame, truth: DataFrame, k: int, query_key: str = "query_i
     return mean.select(F.coalesce("recall", F.lit(1.0)).alias("recall") if k else F.lit(1.0).alias("recall"), "n_queries")
 
 
+def compute_recall(docs: DataFrame, search: Callable[[DataFrame, DataFrame, int], DataFrame], queries: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """recall() of any search (docs, queries, k -> query_id, key) against the exact one."""
+    return recall(search(docs, queries, k), batch_knn(docs, queries, k, key), k, key=key)
+
+
 def jump(state: int, steps: int, multiplier: int = MULTIPLIER, increment: int = INCREMENT) -> int:
     """The generator's state after so many steps, by squaring."""
     a, c, wrap = multiplier, increment, (1 << 64) - 1

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,25 @@ def augment(chats: DataFrame, preset: Preset = SERVER) -> DataFrame:
     return chats.withColumn("messages", out.cast(S.MESSAGE))
 
 
+def forward(chats: DataFrame, call: Callable[[list[dict]], str], key: str = "conv_id") -> DataFrame:
+    """key, answer and error: each row's messages sent by the caller's function; one that raises gives its error."""
+    kind = dict(chats.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers, errors = [], []
+            for messages in frame["messages"]:
+                try:
+                    answers.append(call([dict(m.asDict() if hasattr(m, "asDict") else m) for m in messages]))
+                    errors.append(None)
+                except Exception as e:  # the model's failure is a result
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({key: frame[key], "answer": answers, "error": errors})
+
+    return chats.select(key, "messages").mapInPandas(run, f"`{key}` {kind}, answer string, error string")
+
+
 def token_usage(texts: DataFrame, column: str = "text") -> DataFrame:
     """One row: texts and their white-space tokens."""
     return texts.agg(F.count(F.lit(1)).alias("n_texts"), F.coalesce(F.sum(text.word_count(F.col(column)).cast("long")), F.lit(0)).alias("n_tokens"))

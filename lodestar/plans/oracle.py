@@ -176,6 +176,8 @@ def build() -> dict[str, str]:
         "ingest_counter": "SELECT lang AS collection, count(*) AS value FROM documents GROUP BY lang",
         "search_counter": f"SELECT collection, hybrid, count(*) AS value FROM ({LOG}) GROUP BY ALL",
         "docs_gauge": f"SELECT collection, max_by(event_id, (ts, event_id)) AS value FROM ({LOG}) GROUP BY collection",
+        "index_gauges": """SELECT name, lang AS collection, CAST(CASE name WHEN 'hnsw_num_vectors' THEN n WHEN 'hnsw_max_connections' THEN 16 WHEN 'hnsw_ef_construction' THEN 80 ELSE 32 END AS BIGINT) AS value
+            FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (VALUES ('hnsw_num_vectors'), ('hnsw_max_connections'), ('hnsw_ef_construction'), ('hnsw_ef_search')) v(name)""",
         "latency_hist": histogram(f"({LOG})", "seconds", metrics.LATENCY_BOUNDS, "collection, hybrid", 4),
         "metrics_text": _metrics_text(),
         "token_usage": f"SELECT count(*) AS n_texts, CAST(sum({n_words('text')}) AS BIGINT) AS n_tokens FROM documents",

@@ -426,6 +426,11 @@ def docs_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gauge(_log(spark, sf_dir), "event_id", "ts", "collection")
 
 
+@query
+def index_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.index_gauges(C.stats(_by_lang(spark, sf_dir), 64))
+
+
 @query
 def latency_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = metrics.histogram(_log(spark, sf_dir), "seconds", metrics.LATENCY_BOUNDS, "collection", "hybrid")

@@ -228,3 +228,31 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     q = ratelimit.stream_limit(stream, "user_id", "s", "event_id", 60, 3).writeStream.format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()} == want
+
+
+def test_forwarding_is_the_callers(spark):
+    def call(messages):
+        if messages[-1]["content"] == "bad":
+            raise RuntimeError("no model")
+        return messages[-1]["role"] + ":" + messages[-1]["content"]
+
+    chats = spark.createDataFrame([(1, [("user", "hi")]), (2, [("user", "bad")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = {r["conv_id"]: (r["answer"], r["error"]) for r in rag.forward(chats, call).collect()}
+    assert got == {1: ("user:hi", None), 2: (None, "RuntimeError: no model")}
+
+
+def test_compute_recall_of_exact_search_is_one(spark, docs, unit):
+    asked = spark.createDataFrame([(i, unit[i].tolist()) for i in range(3)], "query_id long, embedding array<double>")
+    assert evaluate.compute_recall(docs, search.batch_knn, asked, 5).first()["recall"] == 1.0
+
+
+def test_command_line(spark, tmp_path):
+    from lodestar.__main__ import parser, run
+
+    go = lambda *a: run(spark, parser().parse_args(["--path", str(tmp_path / "cli"), "--dim", "16", *a]))
+    assert len(go("ingest", "--text", "hello there world", "--show-id")[0]) == 36
+    assert go("ingest", "--text", "it's \"other\" text", "--meta", "{oops") == ["ingested"]
+    assert go("search", "--query", "hello there world", "--limit", "1")[0].endswith("hello there world")
+    assert len(go("retrieve", "--query", "hello there world text", "--hybrid")) == 2
+    assert '"num_documents": 2' in go("stats")[0] and go("list") == ["default"]
+    assert go("embed", "--text", "abc")[0].startswith("dim 16") and go("embed", "--text", "abc")[0].endswith("norm 1.0000")

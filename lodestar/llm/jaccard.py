@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import lower_ascii, run_hashes, shuffle_partitions, span_hashes, stored, word_spans
+from lodestar.llm.common import byte_groups, give_back, lower_ascii, run_hashes, shuffle_partitions, span_hashes, stored, word_spans
 from lodestar.llm.graph import components
 from lodestar.llm.repeats import _CHUNKS, BUCKET_BYTES, NULL_ID, Chunk, open_chunk, pack_chunks, ranges, rows_of
 
@@ -36,28 +36,34 @@ N = 5
 #: The least similarity, in hundredths.
 PERCENT = 75
 #: Different sets that a task joins with one another, or half of those of a pair of blocks.
-BLOCK_SETS = 2000
+BLOCK_SETS = 1000
+#: Bytes of texts that are hashed at a time, if a text isn't longer.
+GROUP_BYTES = 1 << 17
 KEY_BITS = 40
 
 
 def shingle_sets(chunk: Chunk, n: int = N) -> list[np.ndarray]:
     """The sorted shingle hashes of each document of a chunk."""
+    out: list[np.ndarray] = []
     raw = chunk.data.tobytes()
-    data = np.frombuffer(b" ".join(raw[a:b] for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist())), np.uint8)
-    data = lower_ascii(data)
-    starts, ends = word_spans(data)
-    words = span_hashes(data, starts, ends)
-    shingles = run_hashes(words, n)
-    bounds = np.searchsorted(starts, chunk.ends + np.arange(len(chunk.ends)), "right").tolist()  # a blank after each document
-    out, a = [], 0
-    for b in bounds:
-        if b - a >= n:
-            out.append(np.unique(shingles[a : b - n + 1]))
-        elif b > a:
-            out.append(run_hashes(words[a:b], b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        a = b
+    offsets = np.concatenate([[0], chunk.ends])
+    for i, j in byte_groups(offsets, GROUP_BYTES):
+        # a blank after each document
+        some = b" ".join(raw[a:b] for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist()))
+        data = lower_ascii(np.frombuffer(some, np.uint8))
+        starts, ends = word_spans(data)
+        words = span_hashes(data, starts, ends)
+        shingles = run_hashes(words, n)
+        stops = offsets[i + 1 : j + 1] - offsets[i] + np.arange(j - i)
+        a = 0
+        for b in np.searchsorted(starts, stops, "right").tolist():
+            if b - a >= n:
+                out.append(np.unique(shingles[a : b - n + 1]))
+            elif b > a:
+                out.append(run_hashes(words[a:b], b - a))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            a = b
     return out
 
 
@@ -132,6 +138,7 @@ def _answer_classes(table: pa.Table) -> pa.Table:
     df = np.bincount(inverse, counts)
     cls = np.where(df > 1, 1 + np.floor(np.log2(np.maximum(df, 1))), 0).astype(np.uint8)[inverse]
     parts = np.split(cls, np.cumsum([len(k) for k in sent])[:-1])
+    give_back()
     return pa.table({"gid": table.column("gid"), "bucket": table.column("bucket"), "mask": pa.array([squash.compress(p.tobytes()) for p in parts], pa.binary())})
 
 
@@ -353,6 +360,8 @@ def _join_group(percent: int):
         keys = table.column("set_key").to_pylist()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
         links = tree_join(sets, percent) if len(sets) > 1 else []
+        if len(sets) > 200:
+            give_back()
         return pa.table({"a": pa.array([keys[i].hex() for i, _ in links], pa.string()), "b": pa.array([keys[j].hex() for _, j in links], pa.string())})
 
     return run
@@ -396,7 +405,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     classes = components(links, "jaccard-links").withColumnsRenamed({"node": "set", "root": "class"})
     keyed = rows.select("doc_id", "n_shingles", F.lower(F.hex("set_key")).alias("set"))
     keyed = keyed.join(classes, "set", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "set")))
-    least = keyed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join with it is one that Spark can split at hot classes
+    least = stored(keyed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     return keyed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

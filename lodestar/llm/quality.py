@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BASE, clean_docs, lower_ascii, mix, run_hashes, span_hashes, text_column, word_spans
+from lodestar.llm.common import BASE, clean_docs, give_back, lower_ascii, mix, run_hashes, span_hashes, text_column, word_spans
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, bits: int, threshol
                 places, values = features(data[offsets[i] : offsets[i + 1]], bits)
                 scores[i] = w[places] @ values + bias
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], schema=schema)
+        give_back()
 
     return (
         clean_docs(docs)
@@ -157,6 +158,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings, th
                 places, values = features(data[offsets[i] : offsets[i + 1]], s.bits)
                 good[i] = w[places] @ values >= least
             yield batch.filter(pa.array(good))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -2,7 +2,7 @@
 
 A window is ``width`` consecutive units (bytes or words) of a document. Its minimiser is the k-mer in it with the smallest
 hash, so equal windows have the same one at the same place. Consecutive windows with the same minimiser form a
-super-k-mer: one string. Texts are kept in chunks of about 2 MB in a stored table, and four passes over hashes and chunks
+super-k-mer: one string. Texts are kept in chunks of about 1 MB in a stored table, and four passes over hashes and chunks
 find all repeats:
 
 1. each chunk sends its different minimisers to their buckets (8 bytes each);
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import CHUNK_BYTES, clean_docs, mix, run_hashes, shuffle_partitions, span_hashes, stored, text_column
+from lodestar.llm.common import CHUNK_BYTES, clean_docs, give_back, mix, run_hashes, shuffle_partitions, span_hashes, stored, text_column
 
 NULL_ID = np.iinfo(np.int64).max
 #: Raw bytes of texts for each bucket.
@@ -116,6 +116,7 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(batch.column(c)[i].as_py() for c in range(batch.num_columns))
+    give_back()
 
 
 @dataclass(frozen=True)
@@ -391,6 +392,8 @@ def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table],
                 marks[at[e] : at[e] + head["count"][e]] = mark
             k = j
         borders = np.cumsum([0, *[h["count"].sum() for h in heads]])
+        if len(body) > BATCH_BYTES:
+            give_back()
         return _answer(table, [np.packbits(marks[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])])
 
     return run

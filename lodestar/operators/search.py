@@ -6,17 +6,21 @@ Scoring reads ids and vectors only; texts are joined to the few results at the e
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar import schema as S
 from lodestar.functions import jsons, text, vectors
 
+#: From ids, vectors and a query: the ids and dots that are kept.
+Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Queries that one broadcast matrix holds at most; more go in blocks.
 MOST_QUERIES = 2048
 #: Documents in a block, where queries go in blocks.
@@ -57,24 +61,33 @@ def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.nda
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have dim components, and their values."""
-    good = np.array([v is not None and len(v) == dim and None not in v for v in (column.to_pylist())], bool)
-    flat = np.array([v for v, g in zip(column.to_pylist(), good) if g], np.float64).reshape(-1, dim)
-    return good, flat
+    """Which rows have dim components without nulls, and their values."""
+    sizes = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    if not column.null_count and (sizes == dim).all() and not column.flatten().null_count:
+        return np.ones(len(column), bool), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    rows = column.to_pylist()
+    good = np.array([v is not None and len(v) == dim and None not in v for v in rows], bool)
+    return good, np.array([v for v, g in zip(rows, good) if g], np.float64).reshape(-1, dim)
 
 
-def batch_knn(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "id", query_key: str = "query_id", exclude_self: bool = False) -> DataFrame:
-    """query_key, rank, doc_key, dot of the k nearest documents of each query (query_key, embedding).
+def _reaching(ids: np.ndarray, x: np.ndarray, q: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and dots of all rows whose exact sum reaches a threshold; a matrix product leaves few to sum."""
+    near = np.flatnonzero(x @ q >= at_least - 1e-9)
+    dots = _sequential(x[near], q) if len(near) else np.zeros(0)
+    good = dots >= at_least
+    return ids[near][good], dots[good]
+
 
-    Each partition keeps the k best of every query, and a window merges them, so what is shuffled is partitions x queries
-    x k rows. Up to MOST_QUERIES queries are broadcast; more are packed in blocks that meet blocks of documents by an
-    equi-join on block numbers.
+def _met(docs: DataFrame, queries: DataFrame, pick: Pick, doc_key: str, query_key: str, exclude_self: bool) -> DataFrame:
+    """q, d, dot: what pick() chooses of each block of documents for each query.
+
+    Up to MOST_QUERIES queries are one broadcast matrix, and documents stay where they are. More are packed in blocks that
+    meet blocks of documents by an equi-join on block numbers; no task holds more than a block of each.
     """
     spark = docs.sparkSession
-    kinds = dict(docs.dtypes)
     some = queries.select(F.col(query_key).cast("long").alias("q"), vectors.doubles(F.col("embedding")).alias("v")).where("v IS NOT NULL")
     few = some.limit(MOST_QUERIES + 1).collect()
-    base = docs.select(F.col(doc_key).cast("long").alias("d"), vectors.doubles(F.col("embedding")).alias("v"))
+    base = docs.select(F.col(doc_key).cast("long").alias("d"), vectors.doubles(F.col("embedding")).alias("v")).where("v IS NOT NULL")
     out = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("dot", pa.float64())])
 
     def found(q_ids: list, q: list, ids: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -85,7 +98,7 @@ def batch_knn(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "id",
             for q_id, v in zip(q_ids, q):
                 if len(v) == dim and len(own):
                     keep = own != q_id if exclude_self else slice(None)
-                    best, dots = _best(own[keep], x[keep], np.array(v, np.float64), k)
+                    best, dots = pick(own[keep], x[keep], np.array(v, np.float64))
                     for c, values in zip(rows, ([q_id] * len(best), best.tolist(), dots.tolist())):
                         c.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, out.types)], schema=out)
@@ -97,32 +110,37 @@ def batch_knn(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "id",
             for batch in batches:
                 yield from found(*shared.value, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
 
-        scored = base.where("v IS NOT NULL").mapInArrow(run, "q long, d long, dot double")
-    else:
-        q_blocks = F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / MOST_QUERIES)).cast("long")
-        d_count = max(1, -(-docs.count() // DOC_BLOCK))
-        packed_q = some.groupBy(F.pmod(F.xxhash64("q"), q_blocks).alias("qb")).agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-        packed_d = base.where("v IS NOT NULL").groupBy(F.pmod(F.xxhash64("d"), F.lit(d_count)).alias("db")).agg(F.collect_list(F.struct("d", "v")).alias("ds"))
-        met = packed_q.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_count - 1).cast("long")))).join(packed_d, "db").select("qs", "ds")
+        return base.mapInArrow(run, "q long, d long, dot double")
+    q_blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    d_blocks = max(1, -(-docs.count() // DOC_BLOCK))
+    packed_q = some.groupBy(F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("qb")).agg(F.collect_list(F.struct("q", "v")).alias("qs"))
+    packed_d = base.groupBy(F.pmod(F.xxhash64("d"), F.lit(d_blocks)).alias("db")).agg(F.collect_list(F.struct("d", "v")).alias("ds"))
+    met = packed_q.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_blocks - 1).cast("long")))).join(packed_d, "db").select("qs", "ds")
 
-        def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for qs, ds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield from found([r["q"] for r in qs], [r["v"] for r in qs], np.array([r["d"] for r in ds]), pa.array([r["v"] for r in ds]))
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, ds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from found([r["q"] for r in qs], [r["v"] for r in qs], np.array([r["d"] for r in ds]), pa.array([r["v"] for r in ds]))
 
-        scored = met.mapInArrow(run_blocks, "q long, d long, dot double")
+    return met.mapInArrow(run_blocks, "q long, d long, dot double")
+
+
+def batch_knn(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "id", query_key: str = "query_id", exclude_self: bool = False) -> DataFrame:
+    """query_key, rank, doc_key, dot of the k nearest documents of each query (query_key, embedding).
+
+    Each partition or block keeps the k best of every query, and a window merges them, so what is shuffled is partitions x
+    queries x k rows.
+    """
+    scored = _met(docs, queries, partial(_best, k=k), doc_key, query_key, exclude_self)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "d"))
     top = scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(query_key), "rank", F.col("d").cast(kinds[doc_key]).alias(doc_key), "dot")
+    return top.select(F.col("q").alias(query_key), "rank", F.col("d").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), "dot")
 
 
 def similarity_search(docs: DataFrame, queries: DataFrame, at_least: float, doc_key: str = "id", query_key: str = "query_id") -> DataFrame:
-    """All documents whose cosine with a query reaches a threshold; queries are a stated set, broadcast by size."""
-    q = queries.select(F.col(query_key), F.col("embedding").alias("__q"))
-    if q.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        q = F.broadcast(q)
-    met = docs.select(doc_key, "embedding").join(q, F.col(doc_key) != F.col(query_key))
-    return met.select(query_key, doc_key, vectors.cosine(F.col("embedding"), F.col("__q")).alias("score")).where(F.col("score") >= at_least)
+    """All documents whose cosine with a query of a stated set reaches a threshold, but the query's own row."""
+    scored = _met(docs, queries, partial(_reaching, at_least=at_least), doc_key, query_key, True)
+    return scored.select(F.col("q").alias(query_key), F.col("d").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), vectors.clamp(F.col("dot"), -1.0, 1.0).alias("score"))
 
 
 def min_score(results: DataFrame, at_least: float) -> DataFrame:

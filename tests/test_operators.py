@@ -55,6 +55,21 @@ def test_batches_agree_with_single_queries(spark, docs, unit, monkeypatch, most)
         assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == i] == brute(unit, unit[i], 5)
 
 
+@pytest.mark.parametrize("most", [search.MOST_QUERIES, 3])
+def test_similarity_reaches_the_threshold(spark, docs, unit, monkeypatch, most):
+    monkeypatch.setattr(search, "MOST_QUERIES", most)
+    monkeypatch.setattr(search, "DOC_BLOCK", 64)
+    asked = spark.createDataFrame([(i, unit[i].tolist()) for i in range(8)], "query_id long, embedding array<double>")
+    got = {(r["query_id"], r["id"]) for r in search.similarity_search(docs, asked, 0.4).collect()}
+    assert got == {(i, j) for i in range(8) for j in range(200) if i != j and unit[i] @ unit[j] >= 0.4}
+
+
+def test_vectors_that_cant_be_compared_are_left_out(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.5])], "query_id long, embedding array<double>")
+    assert [r["id"] for r in search.batch_knn(d, asked, 5).collect()] == [1]
+
+
 def test_filters_before_and_after(docs, unit):
     q = unit[0].tolist()
     every = brute(unit, unit[0], 200)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import vectors
+from lodestar.functions.arrays import matrix
 from lodestar.operators.quantization import SAMPLE, assign, lloyd, sample
 from lodestar.operators.search import exact_topk
 
@@ -46,12 +48,10 @@ def build(docs: DataFrame, n_lists: int = 32, key: str = "id", most: int = 8 * S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(rows) if v is not None and len(v) == table.shape[1] and None not in v]
-            lists = np.full(len(rows), -1, np.int32)
-            if good:
-                lists[good] = assign(np.array([rows[i] for i in good], np.float64), table)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists)], names=["k", "embedding", "list_id"])
+            good, x = matrix(batch.column(1), table.shape[1])
+            own = np.full(len(good), -1, np.int32)
+            own[good] = assign(x, table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["k", "embedding", "list_id"])
 
     vectors_kind = dict(docs.dtypes)["embedding"]
     out = docs.select(F.col(key).alias("k"), "embedding").mapInArrow(run, f"k {kind}, embedding {vectors_kind}, list_id int").where("list_id >= 0")
@@ -88,8 +88,6 @@ def load(spark: SparkSession, path: str) -> Index | None:
 
 def batch_search(index: Index, queries: DataFrame, k: int, n_probe: int, query_key: str = "query_id") -> DataFrame:
     """query_key, rank, key, dot: queries go to their nearest lists and meet vectors by an equi-join on the list."""
-    from lodestar.functions import vectors
-
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     lists = F.broadcast(queries.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>"))
     near = queries.select(query_key, F.col("embedding").alias("q")).join(lists, F.lit(True))

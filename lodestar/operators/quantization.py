@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
+from lodestar.functions.arrays import lists, matrix
 
 ITERATIONS = 12
 SHIFT = 1e-6
@@ -119,15 +120,9 @@ def encode(docs: DataFrame, book: Codebook, key: str = "id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
-            codes: list = [None] * len(rows)
-            if good:
-                x = np.array([rows[i] for i in good], np.float64)
-                near = np.stack([assign(part, centroids[s]) for s, part in enumerate(np.split(x, len(centroids), axis=1))], axis=1)
-                for i, c in zip(good, near.tolist()):
-                    codes[i] = c
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int16())), batch.column(2)], names=["key", "codes", "scalar"])
+            good, x = matrix(batch.column(1), dim)
+            near = np.stack([assign(part, centroids[s]) for s, part in enumerate(np.split(x, len(centroids), axis=1))], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(near.astype(np.int16), good, pa.int16()), batch.column(2)], names=["key", "codes", "scalar"])
 
     fits = F.size("embedding") == dim
     scalar = F.when(~fits, vectors.quantize(F.col("embedding")))

@@ -12,12 +12,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar import schema as S
 from lodestar.functions import jsons, text, vectors
+from lodestar.functions.arrays import matrix
 
 #: From ids, vectors and a query: the ids and dots that are kept.
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -60,16 +60,6 @@ def _best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.nda
     return ids[near][order], dots[order]
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have dim components without nulls, and their values."""
-    sizes = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
-    if not column.null_count and (sizes == dim).all() and not column.flatten().null_count:
-        return np.ones(len(column), bool), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    rows = column.to_pylist()
-    good = np.array([v is not None and len(v) == dim and None not in v for v in rows], bool)
-    return good, np.array([v for v, g in zip(rows, good) if g], np.float64).reshape(-1, dim)
-
-
 def _reaching(ids: np.ndarray, x: np.ndarray, q: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and dots of all rows whose exact sum reaches a threshold; a matrix product leaves few to sum."""
     near = np.flatnonzero(x @ q >= at_least - 1e-9)
@@ -92,7 +82,7 @@ def _met(docs: DataFrame, queries: DataFrame, pick: Pick, doc_key: str, query_ke
 
     def found(q_ids: list, q: list, ids: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
         for dim in {len(v) for v in q}:
-            good, x = _matrix(column, dim)
+            good, x = matrix(column, dim)
             own = ids[good]
             rows: tuple[list, list, list] = ([], [], [])
             for q_id, v in zip(q_ids, q):

@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import MEMORY, REMEMBERED, independent_pieces
-from lodestar.llm.common import clean_docs, shared_path, shuffle_partitions
+from lodestar.llm.bpe import REMEMBERED, independent_pieces
+from lodestar.llm.common import clean_docs, give_back, shared_path, shuffle_partitions
 from lodestar.llm.repeats import NULL_ID
 from lodestar.llm.warc import put_file
 
 END_ID = 2
+#: Pieces and words that a worker remembers (about 0.2 KB each); it starts anew when they are more.
+PIECES = 1_200_000
 SHARD_IDS = 1 << 19
 ROUNDS = 3
 #: Places of the table in which pairs are counted.
@@ -57,29 +59,51 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        #: a character of a token's name stands for a byte
+        self.token_bytes = np.zeros(self.size, np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.token_bytes[i] = len(token)
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the library gives them one by one."""
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
         ends = list(accumulate(4 * len(x) for x in ids))
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words. Those that begin with their blank encode in a row as they do alone, so the library gets them
+        as one text, and the lengths of the tokens' bytes tell where each ends."""
+        row = [x for x in words if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+        alone = list(set(words).difference(row))
+        found = dict(zip(alone, self._library(alone)))
+        if row:
+            ids = np.frombuffer(self._library(["".join(row)])[0], np.uint32)
+            stop = np.cumsum([len(x.encode()) for x in row])
+            reached = np.cumsum(self.token_bytes[ids])
+            cut = np.searchsorted(reached, stop) + 1
+            if not (reached[cut - 1] == stop).all():
+                raise ValueError("not a byte-level tokenizer")
+            raw, ends = ids.tobytes(), (4 * cut).tolist()
+            found.update(zip(row, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        return found
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         memory = self.memory
-        if len(memory) > MEMORY:
+        if len(memory) > PIECES:
             memory.clear()
         split = [None if any(s in t for s in self.special) else independent_pieces(t) for t in texts]
         fresh = set(chain.from_iterable(p for p in split if p is not None)).difference(memory)
         # a single sign after a letter is a token of its own rule, so the word before it is asked for alone
         signed = [x for x in fresh if len(x) > 1 and x[-1] in SIGNS and x[-2].isalpha()]
         asked = list((fresh.difference(signed) | {x[:-1] for x in signed} | {x[-1] for x in signed}).difference(memory))
-        memory.update(zip(asked, self._library(asked)))
+        memory.update(self._words(asked))
         memory.update([(x, memory[x[:-1]] + memory[x[-1]]) for x in signed])
         whole = iter(self._library([t for t, p in zip(texts, split) if p is None]))
         out = [np.frombuffer(next(whole) if p is None else b"".join(map(memory.__getitem__, p)), np.uint32) for p in split]
-        for x in {x for x in fresh.union(asked) if len(x) > REMEMBERED}:
-            del memory[x]
+        for x in [x for some in (fresh, asked) for x in some if len(x) > REMEMBERED]:
+            memory.pop(x, None)
         return out
 
 
@@ -249,6 +273,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             body = pack(np.concatenate(held), np.array(names, np.int64), ends, enc.size)
             file = f"ids-{part:06d}-{number:06d}.rpids"
             put_file(f"{folder}/ids", file, body)
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, number, file, len(names), size, len(body)), schema.types)], schema=schema)
 
         for batch in batches:

@@ -271,3 +271,18 @@ def test_command_line(spark, tmp_path):
     assert len(go("retrieve", "--query", "hello there world text", "--hybrid")) == 2
     assert '"num_documents": 2' in go("stats")[0] and go("list") == ["default"]
     assert go("embed", "--text", "abc")[0].startswith("dim 16") and go("embed", "--text", "abc")[0].endswith("norm 1.0000")
+
+
+def test_running_counters(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", "ab"[i % 2]) for i in range(40)]
+    spark.createDataFrame(rows, "i long, at string, k string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    events = spark.readStream.schema("i long, at timestamp, k string").parquet(str(tmp_path / "e"))
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    assert {(r["k"], r["value"]) for r in run(ingest.running_counter(events, "k"), "plain", "update")} == {("a", 20), ("b", 20)}
+    by_window = run(ingest.running_counter(events, "k", at="at", window="10 minutes"), "windows", "update")
+    assert {(r["window"]["start"].minute, r["k"], r["value"]) for r in by_window} == {(m, k, 5) for m in (0, 10, 20, 30) for k in "ab"}

@@ -3,8 +3,8 @@
 Features of a text are its words, word pairs, and runs of one to three word shapes (letter case, digits, signs, whether
 the word repeats the one before), each hashed into one of 2**bits places. A place's value is the square root of its
 count, and a text's values have length 1. Training is FTRL-proximal, one document after the other, on a sample of labelled
-rows that has at most ``max_rows`` documents (those with the smallest hashes of doc_id); scoring is a sparse dot product
-with the weights, whose size 2**bits bounds what is broadcast.
+rows that has at most ``max_rows`` documents and ``max_values`` feature values (those with the smallest hashes of doc_id);
+scoring is a sparse dot product with the weights, whose size 2**bits bounds what is broadcast.
 
 Nulls: a null text counts as empty (its score is that of the bias); labels that are null, neither 0 nor 1, or contradict
 each other for a doc_id teach nothing; without any label all scores are 0.5. A null doc_id is scored and is not held out.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BASE, clean_docs, give_back, lower_ascii, mix, run_hashes, span_hashes, text_column, word_spans
+from lodestar.llm.common import BASE, clean_docs, give_back, lower_ascii, mix, run_hashes, span_hashes, stored, text_column, word_spans
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class Settings:
     bits: int = 18
     #: The most labelled documents that training reads.
     max_rows: int = 5000
+    #: The most feature values of those documents (6 bytes each) that the driver takes; it stops before one more document.
+    max_values: int = 16_000_000
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
@@ -115,8 +117,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
 
     found = clean_docs(docs).join(chosen, "doc_id").mapInArrow(run, "doc_id long, quality int, places binary, values binary")
     # repeated rows of a document teach once
-    found = found.groupBy("doc_id").agg(F.min(F.struct("places", "values", "quality")).alias("x")).select("doc_id", "x.*").toPandas()
-    found = found.sort_values("doc_id").sample(frac=1, random_state=7)
+    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("places", "values", "quality")).alias("x")).select("doc_id", "x.*"), "quality-sample")
+    size = {r[0]: r[1] // 4 for r in found.select("doc_id", F.octet_length("places")).collect()}
+    order = [r["doc_id"] for r in known if r["doc_id"] in size]  # by hash, so a part of them is a sample too
+    fits = int(np.searchsorted(np.cumsum([size[i] for i in order]), s.max_values, "right"))
+    if fits < len(order):
+        found = found.where(F.col("doc_id").isin(order[:fits]) if fits else F.lit(False))
+    found = found.toPandas().sort_values("doc_id").sample(frac=1, random_state=7)
     return [(np.frombuffer(r.places, np.uint32), np.frombuffer(r.values, np.float16).astype(np.float32), int(r.quality)) for r in found.itertuples()]
 
 

@@ -142,6 +142,9 @@ def test_quality_edges(spark, edge_docs, no_docs):
 def test_bound_on_training_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     assert len(quality.training_rows(docs, labels, quality.Settings(max_rows=7))) == 7
+    some = quality.training_rows(docs, labels, quality.Settings(max_values=5000))
+    assert 0 < len(some) < 50 and sum(len(p) for p, _, _ in some) <= 5000
+    assert quality.training_rows(docs, labels, quality.Settings(max_values=0)) == []
 
 
 # ---------------------------------------------------------------- mixing

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,13 +22,14 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import REMEMBERED, independent_pieces
-from lodestar.llm.common import clean_docs, give_back, shared_path, shuffle_partitions
-from lodestar.llm.repeats import NULL_ID
+from lodestar.llm.common import byte_groups, clean_docs, give_back, shared_path, shuffle_partitions, text_column
+from lodestar.llm.repeats import NULL_ID, ranges
 from lodestar.llm.warc import put_file
 
 END_ID = 2
@@ -40,6 +42,10 @@ PLACES = 1 << 18
 #: New symbols of a shard at most, if they fit in 16 bits with the vocabulary; and the least count of a pair.
 RULES, LEAST = 12_000, 8
 SAMPLE = 1024
+#: White space of any kind, as a regular expression's set, and some that engines don't agree on.
+WHITE = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
+#: Bytes of texts that are cut and numbered at a time, if a text isn't longer.
+CUT_BYTES = 6 << 20
 #: Signs that words often end with.
 SIGNS = frozenset(".,;:!?")
 MAGIC = b"RPIDS001"
@@ -58,6 +64,9 @@ class Encoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: what keeps a text from being cut before each blank and around each line break
+        marks = "|".join(re.escape(s) for s in self.special)
+        self.odd = f"[{WHITE}][{WHITE}]|\\A[{WHITE}]|[{WHITE}]\\z|[\\x00\\x1c-\\x1f]" + (f"|{marks}" if marks else "")
         self.memory: dict[str, bytes] = {}
         #: a character of a token's name stands for a byte
         self.token_bytes = np.zeros(self.size, np.int64)
@@ -71,39 +80,73 @@ class Encoder:
         ends = list(accumulate(4 * len(x) for x in ids))
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words. Those that begin with their blank encode in a row as they do alone, so the library gets them
-        as one text, and the lengths of the tokens' bytes tell where each ends."""
-        row = [x for x in words if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+    def _ask(self, words: list[str]) -> None:
+        """Put the ids of words into the memory. Those that begin with their blank encode in a row as they do alone, so the
+        library gets them as one text, and the lengths of the tokens' bytes tell where each ends."""
+        row = [x for x in words if x[:1] == " " and not x[1:2].isspace() and len(x) > 1]
         alone = list(set(words).difference(row))
-        found = dict(zip(alone, self._library(alone)))
+        self.memory.update(zip(alone, self._library(alone)))
         if row:
             ids = np.frombuffer(self._library(["".join(row)])[0], np.uint32)
-            stop = np.cumsum([len(x.encode()) for x in row])
+            stop = np.cumsum(pc.binary_length(pa.array(row, pa.large_string())).to_numpy())
             reached = np.cumsum(self.token_bytes[ids])
             cut = np.searchsorted(reached, stop) + 1
-            if not (reached[cut - 1] == stop).all():
-                raise ValueError("not a byte-level tokenizer")
+            if not (reached[np.minimum(cut, len(ids)) - 1] == stop).all():  # tokens across words: then each alone
+                self.memory.update(zip(row, self._library(row)))
+                return
             raw, ends = ids.tobytes(), (4 * cut).tolist()
-            found.update(zip(row, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        return found
+            self.memory.update(zip(row, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def _remember(self, pieces: list[str]) -> list[str]:
+        """Put pieces that encode on their own into the memory; gives those that mustn't stay there."""
         memory = self.memory
         if len(memory) > PIECES:
             memory.clear()
-        split = [None if any(s in t for s in self.special) else independent_pieces(t) for t in texts]
-        fresh = set(chain.from_iterable(p for p in split if p is not None)).difference(memory)
+        fresh = set(pieces).difference(memory)
         # a single sign after a letter is a token of its own rule, so the word before it is asked for alone
         signed = [x for x in fresh if len(x) > 1 and x[-1] in SIGNS and x[-2].isalpha()]
         asked = list((fresh.difference(signed) | {x[:-1] for x in signed} | {x[-1] for x in signed}).difference(memory))
-        memory.update(self._words(asked))
+        self._ask(asked)
         memory.update([(x, memory[x[:-1]] + memory[x[-1]]) for x in signed])
-        whole = iter(self._library([t for t, p in zip(texts, split) if p is None]))
-        out = [np.frombuffer(next(whole) if p is None else b"".join(map(memory.__getitem__, p)), np.uint32) for p in split]
-        for x in [x for some in (fresh, asked) for x in some if len(x) > REMEMBERED]:
-            memory.pop(x, None)
+        return [x for some in (fresh, asked) for x in some if len(x) > REMEMBERED]
+
+    def _odd_text(self, text: str) -> np.ndarray:
+        """A text that isn't cut at single blanks throughout."""
+        pieces = None if any(s in text for s in self.special) else independent_pieces(text)
+        if pieces is None:
+            return np.frombuffer(self._library([text])[0], np.uint32)
+        long = self._remember(pieces)
+        out = np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), np.uint32)
+        for x in long:
+            self.memory.pop(x, None)
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column without nulls. Texts are cut and numbered in Arrow, and each different
+        piece of the batch is looked up once."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._odd_text(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        cut = pc.replace_substring(pc.replace_substring(texts.take(pa.array(plain)), "\n", "\0\n\0"), " ", "\0 ")
+        parts = pc.split_pattern(cut, "\0")
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        numbered = parts.flatten().dictionary_encode()
+        different, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        long = self._remember(different)
+        found = list(map(self.memory.__getitem__, different))
+        for x in long:
+            self.memory.pop(x, None)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        ids = flat[ranges((np.cumsum(size) - size)[which], size[which])]
+        stops = np.concatenate([[0], np.cumsum(size[which])])[ends]
+        for i, some in zip(plain.tolist(), np.split(ids, stops[:-1])):
+            out[i] = some
         return out
 
 
@@ -277,9 +320,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, number, file, len(names), size, len(body)), schema.types)], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1).to_pylist())):
+            for i, j in byte_groups(text_column(batch)[1], CUT_BYTES):
+                some = batch.slice(i, j - i)
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1))):
                     if held and size + len(ids) >= SHARD_IDS:
                         yield close()
                         number, held, names, size = number + 1, [], [], 0

@@ -180,6 +180,34 @@ def test_mix_is_brute_force(spark, edge_docs, no_docs):
     assert many.where("probability IS NULL").count() == 0
 
 
+def test_mixture_meets_its_targets(spark):
+    """The registered mixture asks for more of the rare languages than four fifths of the tokens would hold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = mixing.achieved(docs, queries.MIXTURE)
+    assert {v: x for m, v, x, _ in found if m == "lang"} == pytest.approx({"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2})
+    assert all(x == pytest.approx(y, abs=1e-6 if m == "lang" else 1e-4) for m, _, x, y in found)
+    rows = mixing.mix(docs, queries.MIXTURE).collect()
+    kept = [r for r in rows if r["kept"]]
+    total = sum(r["n_tokens"] for r in kept)
+    assert 0.2 < total / sum(r["n_tokens"] for r in rows) <= 0.8 and all(0 <= r["probability"] <= 1 for r in rows)
+    for lang, share in queries.MIXTURE.given["lang"].items():
+        assert sum(r["n_tokens"] for r in kept if r["lang"] == lang) / total == pytest.approx(share, abs=0.05)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_caps_leave_given_shares(seed):
+    """Cells of any size, some missing; two margins given: shares fit, and no cell gives more than it has."""
+    rnd = np.random.default_rng(seed)
+    keys = [(s, x, t) for s in "abc" for x in "de" for t in "fgh" if (s, x) != ("a", "e")]
+    tokens = np.floor(10 ** rnd.uniform(0, 5, len(keys)))
+    t = mixing.Targets(given={"lang": {"d": 0.7, "e": 0.3}, "topic": {"f": 0.5, "g": 0.25, "h": 0.25}})
+    p = mixing.probabilities(keys, tokens, t)
+    assert (p >= 0).all() and (p <= 1).all() and p.max() > 0
+    for m, given_ in ((1, t.given["lang"]), (2, t.given["topic"])):
+        for v, share in given_.items():
+            assert (tokens * p)[[k[m] == v for k in keys]].sum() / (tokens * p).sum() == pytest.approx(share, abs=1e-5)
+
+
 # ---------------------------------------------------------------- queries, pipeline
 
 

@@ -208,6 +208,21 @@ def test_caps_leave_given_shares(seed):
             assert (tokens * p)[[k[m] == v for k in keys]].sum() / (tokens * p).sum() == pytest.approx(share, abs=1e-5)
 
 
+def test_mixture_keeps_languages_without_a_share(spark):
+    """Null and unlisted languages get shares of their own beside the given ones, also where no listed one occurs."""
+    rows = [(i, f"some words of text {i} " * 5, (["en"] * 6 + ["fr", "de", "es", None, "it", "pl"])[i % 12], f"s{i % 2}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {v: (x, y) for m, v, x, y in mixing.achieved(docs, queries.MIXTURE) if m == "lang"}
+    own = (1 / 12) ** queries.MIXTURE.power
+    for v in found:
+        share = queries.MIXTURE.given["lang"].get(v, own) / (1 + 3 * own)
+        assert found[v] == (pytest.approx(share, rel=1e-2), pytest.approx(share, rel=1e-2))
+    kept = {r["lang"] for r in mixing.mix(docs, queries.MIXTURE).where("kept").select("lang").distinct().collect()}
+    assert kept == {"en", "fr", "de", "es", None, "it", "pl"}
+    unlisted = mixing.mix(docs.where("lang IS NULL OR lang IN ('it', 'pl')"), queries.MIXTURE)
+    assert {r["lang"] for r in unlisted.where("kept").collect()} == {None, "it", "pl"}
+
+
 # ---------------------------------------------------------------- queries, pipeline
 
 

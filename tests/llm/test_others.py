@@ -223,6 +223,28 @@ def test_mixture_keeps_languages_without_a_share(spark):
     assert {r["lang"] for r in unlisted.where("kept").collect()} == {None, "it", "pl"}
 
 
+def test_every_source_has_its_own_target(spark):
+    """More values than most_values: each source and each given language has its share, on the driver or not."""
+    rows = [(i, "w " * (1 + i % 7 + (50 if i % 100 < 20 else 0)), f"l{i % 90}", f"s{i % 100}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tempered = mixing.achieved(docs, mixing.Targets(keep=0.3))
+    own = {f"s{k}": sum(len(r[1].split()) for r in rows if r[3] == f"s{k}") ** 0.7 for k in range(100)}
+    assert {v: y for m, v, _, y in tempered if m == "source"} == pytest.approx({v: n / sum(own.values()) for v, n in own.items()}, rel=1e-3)
+    given_ = {"lang": {f"l{k}": 1 / 90 for k in range(90)}}
+    langs = [y for m, _, _, y in mixing.achieved(docs, mixing.Targets(given=given_, keep=0.3)) if m == "lang"]
+    assert langs == pytest.approx([1 / 90] * 90, rel=1e-4)
+
+
+def test_wide_is_the_same(spark):
+    rnd = np.random.default_rng(5)
+    keys = [(s, x, t) for s in "abcdefgh" for x in "xyz" for t in "pq"]
+    tokens = np.floor(10 ** rnd.uniform(1, 3, len(keys)))
+    cells = spark.createDataFrame([(*k, float(n)) for k, n in zip(keys, tokens)], "__source string, __lang string, __topic string, tokens double")
+    t = mixing.Targets(given={"lang": {"x": 0.3, "y": 0.3}}, keep=0.5)
+    got = {tuple(r)[:3]: r["probability"] for r in mixing.fit_wide(cells, t).collect()}
+    assert [got[k] for k in keys] == pytest.approx(mixing.probabilities(keys, tokens, t).tolist(), abs=1e-2)
+
+
 # ---------------------------------------------------------------- queries, pipeline
 
 

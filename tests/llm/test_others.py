@@ -1,6 +1,9 @@
 """Media, WARC, pivots, quality, mixing, queries and the pipeline."""
 
 import hashlib
+import random
+import re
+import time
 import zlib
 
 import brute
@@ -17,18 +20,119 @@ from lodestar.llm.common import shared_path
 # ---------------------------------------------------------------- media
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(max_size=5000))
-def test_jpeg_round_trip(raw):
-    payload = media.pad(raw)
-    jpeg = media.encode_jpeg(payload)
-    found = media.decode_jpeg(jpeg)
-    assert found["payload"] == payload and found["width"] % 8 == 0
+def plain_scan(jpeg):
+    """Coefficients of a one-component scan, bit by bit."""
     head = media.parse_markers(jpeg)
-    blocks = media._general(head)  # symbol by symbol, as any decoder
-    values = np.where(blocks < 0, blocks + 255, blocks).astype(np.uint8).tobytes()
-    assert values[: len(payload)] == payload
-    assert found["thumbnail"].shape == blocks.shape[:2]
+    codes = {}
+    for name, (counts, symbols) in head["huffman"].items():
+        code, left = 0, list(symbols)
+        for n, count in enumerate(counts, 1):
+            for _ in range(count):
+                codes[name, f"{code:0{n}b}"] = left.pop(0)
+                code += 1
+            code *= 2
+    out = []
+    for piece in re.split(rb"\xff[\xd0-\xd7]", head["data"]):
+        bits = "".join(f"{x:08b}" for x in piece.replace(b"\xff\x00", b"\xff"))
+        at, last = 0, 0
+
+        def symbol(table):
+            nonlocal at
+            n = next(n for n in range(1, 17) if (table, bits[at : at + n]) in codes)
+            at += n
+            return codes[table, bits[at - n : at]]
+
+        def amplitude(size):
+            nonlocal at
+            at += size
+            v = int(bits[at - size : at] or "0", 2)
+            return v if not size or v >> (size - 1) else v - 2**size + 1
+
+        for _ in range(head["restart"]):
+            if len(out) == head["frame"][0] * head["frame"][1] // 64:
+                break
+            last += amplitude(symbol(0))
+            block = [last]
+            while len(block) < 64:
+                s = symbol(0x10)
+                if s == 0:
+                    block += [0] * (64 - len(block))
+                else:
+                    block += [0] * (s >> 4)
+                    block.append(amplitude(s & 15))
+            out.append(block)
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=1500) | st.text("ab \0", max_size=900).map(str.encode), min_size=1, max_size=4), st.booleans())
+def test_jpeg_round_trip(raws, side_by_side):
+    payloads = [media.pad(raw) for raw in raws]
+    jpegs = media.encode_batch(payloads)
+    assert jpegs == [media.encode_jpeg(p) for p in payloads]
+    before, media.FEW_LANES = media.FEW_LANES, 0 if side_by_side else 1 << 30
+    try:
+        found = media.decode_batch(jpegs)
+    finally:
+        media.FEW_LANES = before
+    for payload, jpeg, f in zip(payloads, jpegs, found):
+        assert f["payload"] == payload
+        blocks = plain_scan(jpeg)
+        order = [0, *[s * (k + 1) for k in range(128) for s in (1, -1)]]  # the k-th byte of the table has the k-th of these
+        assert [order.index(c) for c in sum(blocks, [])[: len(payload)]] == [([0, *dict.fromkeys([*media.FREQUENT, *range(1, 256)])]).index(x) for x in payload]
+        across, down = f["width"] // 8, f["height"] // 8
+        grid = [[min(255, max(0, (blocks[y * across + x][0] + 1028) // 8)) for x in range(across)] for y in range(down)]
+        assert f["thumbnail"].tolist() == grid
+        mean = sum(map(sum, grid)) / (across * down)
+        bits = ""
+        for i in range(8):
+            for j in range(8):
+                ys, xs = (range(k * n // 8, max(k * n // 8 + 1, (k + 1) * n // 8)) for k, n in ((i, down), (j, across)))
+                bits += str(int(sum(grid[y][x] for y in ys for x in xs) / (len(ys) * len(xs)) > mean + 1e-9))
+        assert media.thumbnail_hash(f["thumbnail"])[:16] == f"{int(bits, 2):016x}"
+
+
+def test_damaged_files_are_told():
+    jpeg = media.encode_jpeg(media.pad(b"some prose that is long enough " * 40))
+    for cut in (len(jpeg) // 2, len(jpeg) - 40):
+        with pytest.raises(media.NotBaseline):
+            media.decode_jpeg(jpeg[:cut])
+    good, bad = media.decode_batch([jpeg, jpeg[:-90] + jpeg[-2:]])
+    assert good["payload"] and isinstance(bad, media.NotBaseline)
+
+
+def colour_jpeg(rnd, across, down):
+    """A file of three components, the first with 2 x 2 blocks a unit, without restart markers; and its first DCs."""
+    bits, last, first = [], [0, 0, 0], np.zeros((2 * down, 2 * across), int)
+    for y in range(down):
+        for x in range(across):
+            for part, n in ((0, 4), (1, 1), (2, 1)):
+                for b in range(n):
+                    dc = rnd.randint(-60, 60)
+                    d, last[part] = dc - last[part], dc
+                    size = abs(d).bit_length()
+                    bits.append(f"{size:03b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else ""))
+                    bits += ["100" + rnd.choice("01") * 3 for _ in range(rnd.randint(0, 9))] + ["0"]
+                    if not part:
+                        first[2 * y + b // 2, 2 * x + b % 2] = dc
+    bits = "".join(bits)
+    scan = int(bits + "1" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8).replace(b"\xff", b"\xff\x00")
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2) + b
+    # AC: end of block "0", two zeros and size 3 "100"
+    dht = seg(0xC4, bytes([0, 0, 0, 8, *[0] * 13, *range(8)])) + seg(0xC4, bytes([0x10, 1, 0, 1, *[0] * 13, 0, 0x23]))
+    frame = seg(0xC0, b"\x08" + (16 * down).to_bytes(2) + (16 * across).to_bytes(2) + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    return b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([8]) * 64) + frame + dht + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9", first
+
+
+def test_large_colour_file_in_linear_time():
+    rnd = random.Random(5)
+    jpeg, first = colour_jpeg(rnd, 7, 3)
+    assert media.decode_jpeg(jpeg)["thumbnail"].tolist() == (first + 128).tolist()
+    jpeg, first = colour_jpeg(rnd, 250, 120)
+    assert len(jpeg) > 500_000
+    begin = time.perf_counter()
+    assert media.decode_jpeg(jpeg)["thumbnail"].tolist() == (first + 128).tolist()
+    assert time.perf_counter() - begin < 10
 
 
 def foreign_jpeg(dcs, restart=0):

@@ -1,9 +1,9 @@
 """Removal of exact repeats: byte strings by suffix arrays, word windows by sorting super-k-mers.
 
-``suffix_dedup`` removes the bytes that repeated strings of ``width`` bytes cover. Where super-k-mers meet in a bucket,
-their suffixes are sorted to that depth, and previous and next smaller positions in suffix order tell which have a match
-as long that starts earlier (LPF >= width) or, with larger positions, later. With ``keep_first`` the first copy of every
-string stays; without, all copies go.
+``suffix_dedup`` removes the bytes that repeated strings of ``width`` bytes cover. Where super-k-mers meet in a bucket, a
+suffix array of them in the order of their places gives longest-previous-factor arrays, from the previous and next smaller
+positions in suffix order: a factor of ``width`` bytes or more starts earlier or, with larger positions, later. With
+``keep_first`` the first copy of every string stays; without, all copies go.
 
 ``window_dedup`` removes the words that repeated windows of ``width`` words cover. In a bucket, the windows of its
 different super-k-mers are sorted as strings, and equal neighbours are counted.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestar.llm.repeats import NULL_ID, Chunk, Segments, Units, remove_repeats
-from lodestar.llm.suffix import matches_before, ranks
+from lodestar.llm.suffix import Suffixes, longest_factors
 
 BYTES, WORDS = 200, 20
 
@@ -35,7 +35,8 @@ def compare_bytes(texts: list[bytes], counts: np.ndarray, width: int) -> tuple[n
     begin = np.concatenate([[0], ends[:-1]])
     room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(data))
     at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return matches_before(ranks(data, room, width), at)
+    previous, following = longest_factors(Suffixes(data, room, width), at)
+    return previous >= width, following >= width
 
 
 def compare_words(texts: list[bytes], counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +93,11 @@ def _dedup(docs: DataFrame, what: str, units: Units, compare: Callable, keep_fir
     return done if with_text else done.drop("text")
 
 
-def suffix_dedup(docs: DataFrame, width: int = BYTES, keep_first: bool = True, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept text (characters cut in two go), carried columns."""
-    return _dedup(docs, "suffix", Units(False, width, 32 if width >= 64 else 8), compare_bytes, keep_first, with_text, carry)
+def suffix_dedup(docs: DataFrame, width: int = BYTES, keep_first: bool = True, with_text: bool = True, carry: tuple[str, ...] = (), **limits: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept text (characters cut in two go), carried columns. limits: of Units."""
+    return _dedup(docs, "suffix", Units(False, width, 32 if width >= 64 else 8, **limits), compare_bytes, keep_first, with_text, carry)
 
 
-def window_dedup(docs: DataFrame, width: int = WORDS, keep_first: bool = True, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans, kept_sha256, the kept words joined by blanks, carried columns."""
-    return _dedup(docs, "windows", Units(True, width, min(5, width)), compare_words, keep_first, with_text, carry)
+def window_dedup(docs: DataFrame, width: int = WORDS, keep_first: bool = True, with_text: bool = True, carry: tuple[str, ...] = (), **limits: int) -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans, kept_sha256, the kept words joined by blanks, carried columns. limits: of Units."""
+    return _dedup(docs, "windows", Units(True, width, min(5, width), **limits), compare_words, keep_first, with_text, carry)

@@ -1,13 +1,15 @@
 """Exact repeats of windows in a corpus: super-k-mers travel to the bucket of their minimiser and are compared there.
 
-A window is ``width`` consecutive units (bytes or words) of a document. Its minimiser is the k-mer in it with the smallest
-hash, so equal windows have the same one at the same place. Consecutive windows with the same minimiser form a
-super-k-mer: one string. Texts are kept in chunks of about 1 MB in a stored table, and four passes over hashes and chunks
-find all repeats:
-
-1. each chunk sends its different minimisers to their buckets (8 bytes each);
-2. a bucket answers each chunk with one bit a minimiser: whether it occurs again anywhere;
-3. for those that do, a chunk sends its different super-k-mers, packed and compressed, each once with its first place;
+A window is ``width`` consecutive units (bytes or words) of a document. Its minimiser is the smallest hash of its k-mers,
+so equal windows have the same one. Consecutive windows with the same minimiser form a super-k-mer: one string (a run of
+one byte or a short period is one too, in pieces of ``most_windows``). Texts are kept in chunks of about 1 MB in a stored
+table, and four passes over hashes and chunks find all repeats:
+
+1. each chunk sends its different minimisers and their counts to their buckets (9 bytes each);
+2. a bucket answers each chunk with two bits a minimiser: whether it occurs again anywhere, and whether it is hot;
+3. for those that occur again, a chunk sends its different super-k-mers, packed and compressed, each once with its first
+   place. Those of a hot minimiser are parted once more, by the smallest of other hashes of each window's k-mers, and go
+   to the buckets of both, so the different contexts of a common passage meet in many places;
 4. a bucket compares the windows of its different super-k-mers, and answers with one bit a window.
 
 Chunks combine equal super-k-mers before anything is sent, buckets combine those of all chunks, and a group of copies
@@ -39,6 +41,13 @@ BATCH_BYTES = 1 << 20
 #: smaller than the places.
 PLACE_BITS = 16
 BLOCK = 1 << 15
+#: Windows that are marked at a time.
+WINDOWS = 1 << 20
+#: Windows of a super-k-mer at most; and the super-k-mers of a minimiser (a chunk counts 255 at most) that make it hot.
+MOST_WINDOWS = 1 << 14
+HOT = 4096
+#: Makes other hashes of k-mers.
+SALT = np.uint64(0x2545F4914F6CDD1D)
 
 CHUNKS = "gid long, ids binary, ends binary, raw_bytes long, body binary, carried binary"
 _CHUNKS = pa.schema([("gid", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("raw_bytes", pa.int64()), ("body", pa.binary()), ("carried", pa.binary())])
@@ -126,17 +135,17 @@ class Units:
     words: bool
     width: int
     k: int
+    hot: int = HOT
+    most_windows: int = MOST_WINDOWS
+    batch_bytes: int = BATCH_BYTES
 
-    def layout(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of the units, the document of each, and the hashes of the k-mers."""
+    def layout(self, chunk: Chunk) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+        """Byte starts and ends of the units (None: each byte is one), and the document of each."""
         data = chunk.data
         if not self.words:
-            starts = np.arange(len(data) + 1)
-            doc = np.repeat(np.arange(len(chunk.ids), dtype=np.int32), np.diff(chunk.ends, prepend=0))
-            hashes = np.empty(max(0, len(data) - self.k + 1), np.uint64)
-            for b in range(0, len(hashes), BLOCK):
-                hashes[b : b + BLOCK] = _byte_kmers(_BYTE_VALUES[data[b : b + BLOCK + self.k - 1]], self.k)
-            return starts[:-1], starts[1:], doc, hashes
+            if len(chunk.ids) == 1:
+                return None, None, np.broadcast_to(np.int32(0), len(data))
+            return None, None, np.repeat(np.arange(len(chunk.ids), dtype=np.int32), np.diff(chunk.ends, prepend=0))
         inside = np.ones(len(data) + 1, bool)
         inside[:-1] = data != 32
         first = np.zeros(len(data) + 1, bool)
@@ -149,8 +158,7 @@ class Units:
         last[chunk.ends] = True
         breaks = np.flatnonzero(last)
         ends = breaks[np.searchsorted(breaks, starts, "right")]
-        doc = np.searchsorted(chunk.ends, starts, "right").astype(np.int32)
-        return starts, ends, doc, run_hashes(span_hashes(data, starts, ends), self.k)
+        return starts, ends, np.searchsorted(chunk.ends, starts, "right").astype(np.int32)
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -167,51 +175,108 @@ def _byte_kmers(value: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of each run of span values."""
+    n, reach = len(values) - span + 1, 1
+    while 2 * reach <= span:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    return np.minimum(values[:n], values[span - reach : span - reach + n]) if reach < span else values
+
+
 @dataclass
 class Segments:
-    """Super-k-mers of a chunk: first window, count of windows, minimiser; and the units they are made of."""
+    """Super-k-mers of a chunk: first window, count of windows, minimiser, and whether its k-mer occurs in several places;
+    and the units they are made of."""
 
     first: np.ndarray
     count: np.ndarray
     minimiser: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    several: np.ndarray
+    starts: np.ndarray | None
+    ends: np.ndarray | None
     doc: np.ndarray
     width: int
 
     def texts(self, data: bytes, which: np.ndarray) -> list[bytes]:
         """The strings of some segments."""
-        first = self.first[which]
-        return [data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first + self.count[which] + self.width - 2].tolist())]
+        first, last = self.first[which], self.first[which] + self.count[which] + self.width - 2
+        begin, end = (first, last + 1) if self.starts is None else (self.starts[first], self.ends[last])
+        return [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+
+def _pieces(most: int, first: np.ndarray, count: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments of at most so many windows."""
+    if count.max(initial=0) <= most:
+        return first, count, *others
+    parts = -(-count // most)
+    number = ranges(np.zeros(len(parts), np.int64), parts)
+    left = np.repeat(count, parts) - number * most
+    return np.repeat(first, parts) + number * most, np.minimum(left, most), *(np.repeat(x, parts) for x in others)
 
 
 def segments(chunk: Chunk, units: Units) -> Segments:
-    starts, ends, doc, hashes = units.layout(chunk)
+    starts, ends, doc = units.layout(chunk)
     span = units.width - units.k + 1  # k-mers in a window
-    n = len(starts) - units.width + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return Segments(none, none, none.astype(np.uint64), starts, ends, doc, units.width)
-    place = np.empty(n, np.int32)
+    n = len(doc) - units.width + 1
     keep = np.uint64((1 << 64) - (1 << PLACE_BITS))
+    words = run_hashes(span_hashes(chunk.data, starts, ends), units.k) if units.words else None
+    firsts, keys, edges, moves = [], [], [], []
+    before, at, whole_before = np.uint64(1), -1, False  # no minimiser is odd
     for b in range(0, n, BLOCK):
         m = min(BLOCK, n - b)
-        low = hashes[b : b + m + span - 1] & keep | np.arange(m + span - 1, dtype=np.uint64)
-        reach = 1
-        while 2 * reach <= span:
-            low = np.minimum(low[:-reach], low[reach:])
-            reach *= 2
-        if reach < span:
-            low = np.minimum(low[:m], low[span - reach : span - reach + m])
-        place[b : b + m] = (low[:m] & ~keep).astype(np.int32) + np.int32(b)
-    whole = doc[:n] == doc[units.width - 1 :]
-    change = np.ones(n, bool)
-    change[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
-    change &= whole
-    first = np.flatnonzero(change)
-    edge = np.flatnonzero(np.concatenate([change | ~whole, [True]]))
+        hashes = words[b : b + m + span - 1] if units.words else _byte_kmers(_BYTE_VALUES[chunk.data[b : b + m + units.width - 1]], units.k)
+        low = _least(hashes & keep | np.arange(m + span - 1, dtype=np.uint64), span)
+        key = low & keep
+        place = (low & ~keep).astype(np.int64) + b
+        whole = doc[b : b + m] == doc[b + units.width - 1 : b + units.width - 1 + m]
+        new = np.concatenate([[key[0] != before or not whole_before], (key[1:] != key[:-1]) | ~whole[:-1]])
+        moved = np.diff(place, prepend=at) != 0
+        before, at, whole_before = key[-1], place[-1], bool(whole[-1])
+        some = np.flatnonzero(new & whole)
+        firsts.append(some + b)
+        keys.append(key[some])
+        edges.append(np.flatnonzero(new | ~whole) + b)
+        moves.append(np.flatnonzero(moved & ~new & whole) + b)
+    if not firsts:
+        none = np.zeros(0, np.int64)
+        return Segments(none, none, none.astype(np.uint64), none.astype(bool), starts, ends, doc, units.width)
+    first, edge = np.concatenate(firsts), np.append(np.concatenate(edges), n)
     count = edge[np.searchsorted(edge, first, "right")] - first
-    return Segments(first, count, hashes[place[first]], starts, ends, doc, units.width)
+    several = np.zeros(len(first), bool)
+    several[np.searchsorted(first, np.concatenate(moves), "right") - 1] = True
+    return Segments(*_pieces(units.most_windows, first, count, np.concatenate(keys), several), starts, ends, doc, units.width)
+
+
+def _parted(s: Segments, hot: np.ndarray, chunk: Chunk, units: Units) -> tuple[Segments, np.ndarray]:
+    """The segments with the hot ones parted by a second minimiser, and which of s each one comes from."""
+    which = np.flatnonzero(hot)
+    if not len(which):
+        return s, np.arange(len(s.first))
+    first, count = s.first[which], s.count[which]
+    length = count + units.width - 1
+    at = ranges(first, length)
+    if units.words:
+        words = run_hashes(span_hashes(chunk.data, s.starts, s.ends), units.k)
+        hashes = words[np.minimum(at, len(words) - 1)]
+    else:
+        hashes = np.concatenate([_byte_kmers(_BYTE_VALUES[chunk.data[at]], units.k), np.zeros(units.k - 1, np.uint64)])
+    # the k-mers that don't begin in a segment's windows are not looked at
+    least = _least(mix(hashes ^ SALT), units.width - units.k + 1)
+    windows = ranges(np.cumsum(length) - length, count)
+    second, owner = least[windows], np.repeat(np.arange(len(which)), count)
+    new = np.ones(len(second), bool)
+    new[1:] = (second[1:] != second[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    source = which[owner[heads]]
+    keys = mix(s.minimiser[source] ^ second[heads])
+    cold = np.flatnonzero(~hot)
+    begin = ranges(first, count)[heads]
+    parts = [np.concatenate(x) for x in ((s.first[cold], begin), (s.count[cold], np.diff(heads, append=len(second))), (s.minimiser[cold], keys))]
+    source = np.concatenate([cold, source])
+    order = np.argsort(parts[0], kind="stable")
+    several = np.concatenate([s.several[cold], np.ones(len(heads), bool)])
+    return Segments(*(x[order] for x in parts), several[order], s.starts, s.ends, s.doc, s.width), source[order]
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -228,21 +293,22 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent_minimisers(s: Segments, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different minimisers in the order in which they are sent, whether each occurs twice here, bucket borders."""
-    keys, counts = np.unique(s.minimiser, return_counts=True)
+    """The different minimisers in the order in which they are sent, how often each occurs here, bucket borders."""
+    keys, inverse, counts = np.unique(s.minimiser, return_inverse=True, return_counts=True)
+    counts[inverse[s.several]] += 1
     order, borders = _by_bucket(keys, buckets)
-    return keys[order], counts[order] > 1, borders
+    return keys[order], np.minimum(counts[order], 255).astype(np.uint8), borders
 
 
 def _send_minimisers(units: Units, buckets: int) -> Callable:
-    schema = pa.schema([("bucket", pa.int32()), ("gid", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("gid", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = open_chunk(*row)
-            keys, twice, borders = _sent_minimisers(segments(chunk, units), buckets)
+            keys, counts, borders = _sent_minimisers(segments(chunk, units), buckets)
             some = np.flatnonzero(np.diff(borders))
-            out = [(int(b), chunk.gid, keys[borders[b] : borders[b + 1]].tobytes(), np.packbits(twice[borders[b] : borders[b + 1]]).tobytes()) for b in some]
+            out = [(int(b), chunk.gid, keys[borders[b] : borders[b + 1]].tobytes(), counts[borders[b] : borders[b + 1]].tobytes()) for b in some]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -253,26 +319,31 @@ def _answer(table: pa.Table, masks: list[bytes]) -> pa.Table:
     return pa.table({"gid": table.column("gid"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
 
-def _answer_minimisers(table: pa.Table) -> pa.Table:
+def _answer_minimisers(hot: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _minimisers_again(table, hot)
+
+
+def _minimisers_again(table: pa.Table, hot: int) -> pa.Table:
     sent = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    keys = np.concatenate(sent)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)) for x, k in zip(table.column("twice"), sent)])
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    again = counts > 1
-    again[inverse[twice == 1]] = True
-    marks = np.split(again[inverse], np.cumsum([len(k) for k in sent])[:-1])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")])
+    _, inverse = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(inverse, counts)[inverse]
+    marks = np.split(np.stack([total > 1, total >= hot], axis=1), np.cumsum([len(k) for k in sent])[:-1])
     return _answer(table, [np.packbits(m).tobytes() for m in marks])
 
 
-def _wanted(s: Segments, answers: list, buckets: int) -> np.ndarray:
-    """Which segments have a minimiser that occurs again."""
+def _wanted(chunk: Chunk, units: Units, answers: list, buckets: int) -> tuple[Segments, np.ndarray]:
+    """The segments of a chunk, parted where the minimiser is hot, and which have one that occurs again."""
+    s = segments(chunk, units)
     keys, _, borders = _sent_minimisers(s, buckets)
-    again = np.zeros(len(keys), bool)
+    found = np.zeros((len(keys), 2), bool)
     for a in answers or ():
-        b, n = a["bucket"], borders[a["bucket"] + 1] - borders[a["bucket"]]
-        again[borders[b] : borders[b + 1]] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=n)
+        b, n = a["bucket"], int(borders[a["bucket"] + 1] - borders[a["bucket"]])
+        found[borders[b] : borders[b + 1]] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=2 * n).reshape(n, 2)
     order = np.argsort(keys)
-    return again[order][np.searchsorted(keys[order], s.minimiser)]
+    again, hot = found[order][np.searchsorted(keys[order], s.minimiser)].T
+    parted, source = _parted(s, hot, chunk, units)
+    return parted, again[source]
 
 
 @dataclass
@@ -308,7 +379,7 @@ def _doc_offsets(s: Segments, docs: np.ndarray) -> np.ndarray:
     return np.searchsorted(s.doc, docs)
 
 
-_HEAD = np.dtype([("minimiser", "<u8"), ("id", "<i8"), ("start", "<i8"), ("count", "<i4"), ("length", "<i4"), ("twice", "u1")])
+_HEAD = np.dtype([("minimiser", "<u8"), ("id", "<i8"), ("start", "<i8"), ("count", "<i4"), ("length", "<i4"), ("twice", "u1"), ("several", "u1")])
 
 
 def _send_segments(units: Units, buckets: int) -> Callable:
@@ -318,8 +389,8 @@ def _send_segments(units: Units, buckets: int) -> Callable:
         squash = zstandard.ZstdCompressor(level=1)
         for *row, answers in rows_of(batches):
             chunk = open_chunk(*row)
-            s = segments(chunk, units)
-            d = _different(chunk, s, _wanted(s, answers, buckets), buckets)
+            s, wanted = _wanted(chunk, units, answers, buckets)
+            d = _different(chunk, s, wanted, buckets)
             data = chunk.data.tobytes()
             out = []
             for b in np.flatnonzero(np.diff(d.borders)):
@@ -328,7 +399,7 @@ def _send_segments(units: Units, buckets: int) -> Callable:
                 texts = s.texts(data, own)
                 head = np.zeros(len(own), _HEAD)
                 docs = s.doc[s.first[own]]
-                head["minimiser"], head["count"], head["twice"] = s.minimiser[own], s.count[own], d.twice[sent]
+                head["minimiser"], head["count"], head["twice"], head["several"] = s.minimiser[own], s.count[own], d.twice[sent], s.several[own]
                 head["id"], head["start"] = chunk.ids[docs], s.first[own] - _doc_offsets(s, docs)
                 head["length"] = [len(t) for t in texts]
                 out.append((int(b), chunk.gid, len(own), squash.compress(head.tobytes() + b"".join(texts))))
@@ -343,7 +414,7 @@ def _send_segments(units: Units, buckets: int) -> Callable:
 Compare = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table], pa.Table]:
+def _answer_segments(compare: Compare, keep_first: bool, batch_bytes: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         heads, bodies, unpack = [], [], zstandard.ZstdDecompressor()
         for n, packed in zip(table.column("n").to_pylist(), table.column("packed")):
@@ -363,7 +434,7 @@ def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table],
         while k < len(group) - 1:
             # whole minimisers up to the bytes of a batch
             size, j = 0, k
-            while j < len(group) - 1 and (j == k or size < BATCH_BYTES):
+            while j < len(group) - 1 and (j == k or size < batch_bytes):
                 size += int(head["length"][order[group[j] : group[j + 1]]].sum())
                 j += 1
             entries = order[group[k] : group[j]]
@@ -374,9 +445,9 @@ def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table],
             counts = head["count"][firsts]
             total = np.bincount(which, 1 + head["twice"][entries], minlength=len(number))
             border = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-            # windows of one super-k-mer differ, as the minimiser stands elsewhere in each: one without others has no match
+            # where the k-mer stands in one place, the windows of a super-k-mer differ: one without others has no match
             _, own, company = np.unique(head["minimiser"][firsts], return_inverse=True, return_counts=True)
-            some = np.flatnonzero(company[own] > 1)
+            some = np.flatnonzero((company[own] > 1) | (head["several"][firsts] > 0))
             earlier, later = np.zeros(border[-1], bool), np.zeros(border[-1], bool)
             if len(some):
                 strings = list(number)
@@ -392,7 +463,7 @@ def _answer_segments(compare: Compare, keep_first: bool) -> Callable[[pa.Table],
                 marks[at[e] : at[e] + head["count"][e]] = mark
             k = j
         borders = np.cumsum([0, *[h["count"].sum() for h in heads]])
-        if len(body) > BATCH_BYTES:
+        if len(body) > batch_bytes:
             give_back()
         return _answer(table, [np.packbits(marks[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])])
 
@@ -407,29 +478,33 @@ def _apply(units: Units, buckets: int, keep_first: bool, finish: Finish) -> Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *row, first_answers, answers in rows_of(batches):
             chunk = open_chunk(*row)
-            s = segments(chunk, units)
-            d = _different(chunk, s, _wanted(s, first_answers, buckets), buckets)
+            s, wanted = _wanted(chunk, units, first_answers, buckets)
+            d = _different(chunk, s, wanted, buckets)
             counts = s.count[d.head]
             border = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
             marks = np.zeros(int(border[-1]), bool)
             for a in answers or ():
                 b0, b1 = border[d.borders[a["bucket"]]], border[d.borders[a["bucket"] + 1]]
                 marks[b0:b1] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=int(b1 - b0))
-            edges = np.zeros(len(s.starts) + 1, np.int32)
-            if len(d.chosen):
-                first, n = s.first[d.chosen], s.count[d.chosen]
-                on = marks[ranges(border[d.which], n)]
+            edges = np.zeros(len(s.doc) + 1, np.int32)
+            if keep_first and len(d.chosen):
+                docs = s.doc[s.first[d.chosen]]
+                ids, offset = chunk.ids[docs], s.first[d.chosen] - _doc_offsets(s, docs)
+                heads = np.empty(len(d.head), np.int64)
+                heads[d.which[::-1]] = np.arange(len(d.chosen))[::-1]  # the first entry of each string
+                h = heads[d.which]
+                elsewhere = (ids != ids[h]) | (offset != offset[h])  # not its string's first place
+            reached = np.cumsum(s.count[d.chosen])
+            cuts = np.searchsorted(reached, np.arange(0, reached[-1], WINDOWS)) if len(reached) else []
+            for k0, k1 in zip(cuts, [*cuts[1:], len(reached)]):
+                first, n = s.first[d.chosen[k0:k1]], s.count[d.chosen[k0:k1]]
+                on = marks[ranges(border[d.which[k0:k1]], n)]
                 if keep_first:
-                    docs = s.doc[first]
-                    ids, offset = chunk.ids[docs], first - _doc_offsets(s, docs)
-                    heads = np.empty(len(d.head), np.int64)
-                    heads[d.which[::-1]] = np.arange(len(d.chosen))[::-1]  # the first entry of each string
-                    h = heads[d.which]
-                    on |= np.repeat((ids != ids[h]) | (offset != offset[h]), n)  # not its string's first place
+                    on |= np.repeat(elsewhere[k0:k1], n)
                 window = ranges(first, n)[on]
                 edges[window] += 1  # segments share no windows
                 edges[window + units.width] -= 1
-            yield finish(chunk, s, np.cumsum(edges[:-1]) > 0)
+            yield finish(chunk, s, np.cumsum(edges, out=edges)[:-1] > 0)
 
     return run
 
@@ -441,10 +516,10 @@ def remove_repeats(docs: DataFrame, what: str, units: Units, compare: Compare, k
     buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
     gathered = lambda df, name: df.groupBy("gid").agg(F.collect_list(F.struct("bucket", "mask")).alias(name))
     reply = "gid long, bucket int, mask binary"
-    sent = chunks.mapInArrow(_send_minimisers(units, buckets), "bucket int, gid long, keys binary, twice binary")
-    again = stored(gathered(sent.groupBy("bucket").applyInArrow(_answer_minimisers, reply), "again"), f"{what}-again")
+    sent = chunks.mapInArrow(_send_minimisers(units, buckets), "bucket int, gid long, keys binary, counts binary")
+    again = stored(gathered(sent.groupBy("bucket").applyInArrow(_answer_minimisers(units.hot), reply), "again"), f"{what}-again")
     asked = chunks.join(again.hint("merge"), "gid").select(*_CHUNKS.names, "again")
     strings = asked.mapInArrow(_send_segments(units, buckets), "bucket int, gid long, n int, packed binary")
-    marks = stored(gathered(strings.groupBy("bucket").applyInArrow(_answer_segments(compare, keep_first), reply), "marks"), f"{what}-marks")
+    marks = stored(gathered(strings.groupBy("bucket").applyInArrow(_answer_segments(compare, keep_first, units.batch_bytes), reply), "marks"), f"{what}-marks")
     done = chunks.join(again.hint("merge"), "gid", "left").join(marks.hint("merge"), "gid", "left").select(*_CHUNKS.names, "again", "marks")
     return done.mapInArrow(_apply(units, buckets, keep_first, finish), schema)

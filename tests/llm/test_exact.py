@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestar.llm import exact, repeats
-from lodestar.llm.suffix import longest_previous_factor, next_smaller, previous_smaller
+from lodestar.llm.suffix import Suffixes, longest_factors, longest_previous_factor, smaller_before
 
 
 @settings(max_examples=60, deadline=None)
@@ -26,12 +26,46 @@ def test_longest_previous_factor(data):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 9), max_size=40))
-def test_smaller_neighbours(values):
-    v = np.array(values, np.int64)
-    before = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
-    after = [min((j for j in range(i + 1, len(v)) if v[j] < v[i]), default=-1) for i in range(len(v))]
-    assert previous_smaller(v).tolist() == before and next_smaller(v).tolist() == after
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=40))
+def test_smaller_neighbours(pairs):
+    v, shared = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    to, least = smaller_before(v, shared)
+    want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+    assert to.tolist() == want
+    assert least.tolist() == [min(shared[j + 1 : i + 1]) if j >= 0 else 0 for i, j in enumerate(want)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40) | st.text("ab\0", min_size=1, max_size=60).map(str.encode), min_size=1, max_size=5), st.data())
+def test_factors_of_several_strings(texts, data):
+    whole = b"".join(texts)
+    room = np.concatenate([np.arange(len(t), 0, -1) for t in texts])
+    at = np.array(sorted(data.draw(st.sets(st.integers(0, len(whole) - 1)))), np.int64)
+    previous, following = longest_factors(Suffixes(np.frombuffer(whole, np.uint8), room, 100), at)
+
+    def shared(i, j):
+        n = 0
+        while n < min(room[i], room[j]) and whole[i + n] == whole[j + n]:
+            n += 1
+        return n
+
+    assert previous.tolist() == [max((shared(i, j) for j in at if j < i), default=0) for i in at]
+    assert following.tolist() == [max((shared(i, j) for j in at if j > i), default=0) for i in at]
+
+
+def test_both_neighbours_decide(monkeypatch):
+    """In the buckets of a corpus, some matches are with the previous smaller position and some with the next one only."""
+    seen = {"before": 0, "after": 0}
+    whole = (b"abcdefgh" * 6 + b"1") + (b"abcdefgh" * 6 + b"2") + b"zz" + (b"abcdefgh" * 6 + b"0")
+    n = len(whole)
+    s = Suffixes(np.frombuffer(whole, np.uint8), n - np.arange(n), n)
+    order = np.argsort(s.levels[-1][1])
+    shared = np.append(0, s.shared(order[1:], order[:-1]))
+    _, before = smaller_before(order, shared)
+    _, after = smaller_before(order[::-1], np.append(shared[1:], 0)[::-1])
+    after = after[::-1]
+    seen["before"], seen["after"] = int((before > after).sum()), int((after > before).sum())
+    assert min(seen.values()) > 0
 
 
 def corpus(seed, n=60):
@@ -74,17 +108,35 @@ SUFFIX, WINDOWS = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), ("n_words"
 @pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_suffix_dedup(spark, monkeypatch, small, keep_first):
-    if small:  # many chunks, buckets and batches
+    limits = {}
+    if small:  # many buckets and batches, hot minimisers, super-k-mers in pieces
         monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
-        monkeypatch.setattr(repeats, "BATCH_BYTES", 500)
+        limits = {"batch_bytes": 500, "hot": 3, "most_windows": 50}
     rows = corpus(1)
-    check(spark, monkeypatch, rows, exact.suffix_dedup, lambda r: brute.suffix(r, keep_first=keep_first), SUFFIX, keep_first=keep_first)
+    check(spark, monkeypatch, rows, exact.suffix_dedup, lambda r: brute.suffix(r, keep_first=keep_first), SUFFIX, keep_first=keep_first, **limits)
 
 
 @pytest.mark.parametrize("seed", [2, 3])
 def test_window_dedup(spark, monkeypatch, seed):
-    monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
-    check(spark, monkeypatch, corpus(seed), exact.window_dedup, brute.windows, WINDOWS)
+    check(spark, monkeypatch, corpus(seed), exact.window_dedup, brute.windows, WINDOWS, batch_bytes=3000, **({"hot": 2, "most_windows": 7} if seed == 3 else {}))
+
+
+def test_runs_and_periods(spark, monkeypatch):
+    """Runs of a byte, short periods and repeated words, within and across documents; long ones in several pieces."""
+    rows = [(1, "x" * 200), (2, "y" * 201), (3, "a" + "x" * 1000 + "b"), (4, "ab" * 300), (5, "z" + "ba" * 120), (6, "abc" * 67 + "q"), (7, "w " * 21), (8, "w w v " * 30), (9, "v w w " * 9)]
+    for keep_first in (False, True):
+        check(spark, monkeypatch, rows, exact.suffix_dedup, lambda r: brute.suffix(r, keep_first=keep_first), SUFFIX, keep_first=keep_first, most_windows=128, hot=3 if keep_first else 1000)
+    check(spark, monkeypatch, rows, exact.window_dedup, brute.windows, WINDOWS, most_windows=5)
+
+
+def test_a_run_is_few_strings():
+    n = 1 << 20
+    chunk = repeats.Chunk(0, np.array([1]), np.array([n]), np.full(n, 120, np.uint8))
+    units = repeats.Units(False, 200, 32)
+    s = repeats.segments(chunk, units)
+    assert int(s.count.sum()) == n - 199 and len(s.first) <= n // repeats.MOST_WINDOWS + 1
+    strings = set(s.texts(chunk.data.tobytes(), np.arange(len(s.first))))
+    assert sum(map(len, strings)) < 1 << 16
 
 
 def test_edges(spark, edge_docs, no_docs):

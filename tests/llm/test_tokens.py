@@ -1,5 +1,8 @@
 import hashlib
+import json
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -63,6 +66,54 @@ def test_tokens_leave_before_the_end(own):
     assert first >= 0 and given_ < 200 * 64 and own.lookahead >= own.longest
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(alphabet | st.sampled_from(["<|endo", "'re", "   ", "x" * 20, "\n" * 20, "!" * 18]), max_size=40).map("".join), st.sampled_from([1, 3, 20]), st.sampled_from([4, 60]))
+def test_blocks_of_any_size(library, own, text, step, block):
+    before, bpe.BLOCK = bpe.BLOCK, block
+    try:
+        got = [int(i) for part in own.encode_blocks(bpe.blocks_of(np.frombuffer(text.encode(), np.uint8), step)) for i in part]
+    finally:
+        bpe.BLOCK = before
+    assert got == ids(library, text)
+
+
+def test_every_piece_goes_through_the_transducer(library):
+    fresh, calls = bpe.Bpe(tokenizer_file()), []
+    plain = fresh.transduce
+    fresh.transduce = lambda stream: calls.append(1) or plain(stream)
+    texts = ["some words, and some words again", "x" * 5000, "12 34\n"]
+    assert [fresh.encode(t) for t in texts] == [ids(library, t) for t in texts]
+    assert len(calls) == len({w for t in texts for w in fresh.splitter.findall(t)})
+
+
+def test_memory_is_flat_in_the_length_of_a_text(own):
+    prose = ("The quick brown fox, and 12 others - jumped over\n" * 3000).encode()
+    peaks = []
+    for n in (1, 8):
+        raw = np.resize(np.frombuffer(prose, np.uint8), n << 20)
+        tracemalloc.start()
+        bpe._digest(own, raw)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (1 << 20)
+
+
+def test_unbroken_text_in_linear_time(own):
+    letters = np.random.default_rng(1).integers(97, 123, 1 << 18).astype(np.uint8)
+    begin = time.perf_counter()
+    assert bpe._digest(own, letters)[0] > 1 << 16
+    assert time.perf_counter() - begin < 8
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.load(open(tokenizer_file(), encoding="utf-8"))
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {**spec["pre_tokenizer"], "add_prefix_space": True})):
+        path = tmp_path / "file.json"
+        path.write_text(json.dumps({**spec, key: value}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Bpe(str(path))
+
+
 def test_digests(spark, library, edge_docs, no_docs):
     texts = [r["text"] for r in edge_docs.select("text").collect()]
     want = []

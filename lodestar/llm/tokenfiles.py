@@ -1,9 +1,11 @@
 """Token-id files: shards of documents in ascending id order, compressed by Re-Pair grammars, with random access.
 
-A shard replaces frequent pairs of ids by new symbols, round after round; each round counts all adjacent pairs of the
-shard, gives the most frequent ones a rule each, and replaces them where they don't overlap a more frequent one. A file
-holds the rules, how many ids each expands to, the symbols, the ids before every 1024th symbol, and each document's id
-and end; so ``Shard.read(start, n)`` expands only the symbols it needs.
+A shard replaces frequent pairs of ids by new symbols, round after round, until no pair occurs ``LEAST`` times. Each round
+counts adjacent pairs exactly (in a run of one symbol, those that don't overlap), and replaces the frequent ones where they
+don't overlap a more frequent one; a pair that then has fewer replacements than ``LEAST`` waits for a later round. Pairs
+that were too rare and have no new symbol can only have become rarer, so a round counts the others. A file holds the rules,
+how many ids each expands to, the symbols, the ids before every 1024th symbol, and each document's id and end; so
+``Shard.read(start, n)`` expands only the symbols it needs, and puts each where the expansion lengths tell.
 
 Files have names by partition and number and are moved into place when complete; the stored manifest names those that
 count. Documents with a null doc_id come last; rows that tie are ordered by text. Null texts count as empty (just the end
@@ -36,12 +38,11 @@ END_ID = 2
 #: Pieces and words that a worker remembers (about 0.2 KB each); it starts anew when they are more.
 PIECES = 1_200_000
 SHARD_IDS = 1 << 19
-ROUNDS = 3
-#: Places of the table in which pairs are counted.
-PLACES = 1 << 18
-#: New symbols of a shard at most, if they fit in 16 bits with the vocabulary; and the least count of a pair.
-RULES, LEAST = 12_000, 8
+#: The least count of a pair.
+LEAST = 8
 SAMPLE = 1024
+#: Ids that are read from a shard at a time.
+READ_IDS = 1 << 17
 #: White space of any kind, as a regular expression's set, and some that engines don't agree on.
 WHITE = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
 #: Bytes of texts that are cut and numbered at a time, if a text isn't longer.
@@ -159,61 +160,78 @@ def encoder(path: str) -> Encoder:
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
-def _replace(ids: np.ndarray, pri: np.ndarray, base: int) -> np.ndarray:
-    """ids with chosen pairs replaced by base + rank. pri: the rank of the pair that begins at each position, or NONE.
-
-    Of pairs that overlap, the lower rank goes first, and of equal ranks the left one.
-    """
-    at = np.flatnonzero(pri != NONE)
+def _picked(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs that begin at some positions are replaced: of pairs that overlap, the lower rank goes first."""
     keep = np.zeros(len(at), bool)
-    rank = pri[at]
-    for _ in range(2):
-        touch = np.diff(at) == 1
-        left = np.concatenate([[NONE], np.where(touch, rank[:-1], NONE)])
-        right = np.concatenate([np.where(touch, rank[1:], NONE), [NONE]])
-        pick = (rank != NONE) & (rank < left) & (rank <= right)
+    touch = np.diff(at) == 1
+    rank = rank.copy()
+    for _ in range(3):
+        pick = rank != NONE
+        pick[1:] &= ~touch | (rank[1:] < rank[:-1])
+        pick[:-1] &= ~touch | (rank[:-1] < rank[1:])
         keep |= pick
-        gone = pick.copy()
-        gone[1:] |= pick[:-1] & touch
-        gone[:-1] |= pick[1:] & touch
-        rank = np.where(gone, NONE, rank)
-    at = at[keep]
-    out = ids.copy()
-    out[at] = base + pri[at]
-    stay = np.ones(len(ids), bool)
-    stay[at + 1] = False
-    return out[stay]
-
-
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols, and the rules (pairs of ids or earlier symbols) of base, base + 1, ...
-
-    Pairs are counted in a table of hashed places. A place counts for the pair that was put there last; another pair of
-    that place has its turn in a later round, when the first is gone.
-    """
+        rank[pick] = NONE
+        rank[1:][pick[:-1] & touch] = NONE
+        rank[:-1][pick[1:] & touch] = NONE
+    return keep
+
+
+def _every_second(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The positions without every second one of a run of one symbol, whose pairs overlap."""
+    same = symbols[at] == symbols[at + 1]
+    if not same.any():
+        return at
+    runs = at[same]
+    begin = np.ones(len(runs), bool)
+    begin[1:] = np.diff(runs) != 1
+    heads = runs[begin][np.cumsum(begin) - 1]
+    keep = np.ones(len(at), bool)
+    keep[np.flatnonzero(same)[(runs - heads) % 2 == 1]] = False
+    return at[keep]
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols, and the rules (pairs of ids or earlier symbols) of base, base + 1, ..."""
     symbols = ids.astype(np.int32)
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for r in range(rounds):
-        if len(symbols) < 2 or n_rules >= most:
-            break
-        a, b = symbols[:-1], symbols[1:]
-        place = (a * np.int32(40503) ^ b * np.int32(-1640531527)) >> np.int32(9) & np.int32(PLACES - 1)
-        first, second = np.full(PLACES, -1, np.int32), np.full(PLACES, -1, np.int32)
-        first[place], second[place] = a, b
-        own = (first[place] == a) & (second[place] == b)
-        counts = np.bincount(place[own], minlength=PLACES)
-        quota = min(most - n_rules, -(-most // rounds) if r < rounds - 1 else most)
+    n_rules, last = 0, 0  # symbols from last on are of the last round
+    frequent = np.ones(len(symbols), bool)  # whether the pair that begins here was frequent when it was counted
+    while len(symbols) > 1:
+        fresh = symbols >= last
+        look = frequent[:-1] | fresh[:-1] | fresh[1:]
+        at = _every_second(symbols, np.flatnonzero(look))
+        if base + n_rules <= 1 << 16:
+            keys = symbols[at].astype(np.uint32) << np.uint32(16) | symbols[at + 1].astype(np.uint32)
+        else:
+            keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1].astype(np.uint64)
+        order = np.argsort(keys)
+        in_order = keys[order]
+        first = np.flatnonzero(np.concatenate([in_order[:1] == in_order[:1], in_order[1:] != in_order[:-1]]))
+        counts = np.diff(first, append=len(keys))
         top = np.flatnonzero(counts >= least)
-        top = top[np.argsort(-counts[top], kind="stable")[:quota]]
         if not len(top):
             break
-        rank = np.full(PLACES, NONE, np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        pri = np.where(own, rank[place], NONE)
-        rules.append(np.stack([first[top], second[top]], axis=1).astype(np.int64))
-        symbols = _replace(symbols, pri, base + n_rules)
-        n_rules += len(top)
+        top = top[np.argsort(-counts[top], kind="stable")]
+        rank = np.full(len(symbols), NONE, np.int32)
+        rank[at[order[ranges(first[top], counts[top])]]] = np.repeat(np.arange(len(top), dtype=np.int32), counts[top])
+        frequent = rank != NONE
+        place = np.flatnonzero(frequent)
+        doubled = place[symbols[place] == symbols[place + 1]]
+        if len(doubled):  # the pairs of a run that weren't counted are as frequent
+            same = np.flatnonzero(symbols[:-1] == symbols[1:])
+            frequent[same[np.isin(symbols[same], symbols[doubled])]] = True
+        place = place[_picked(place, rank[place])]
+        used = np.bincount(rank[place], minlength=len(top)) >= least
+        place = place[used[rank[place]]]
+        number = np.cumsum(used, dtype=np.int32) - 1
+        example = at[order[first[top[used]]]]
+        rules.append(np.stack([symbols[example], symbols[example + 1]], axis=1).astype(np.int64))
+        symbols[place] = base + n_rules + number[rank[place]]
+        last = base + n_rules
+        n_rules += len(example)
+        stay = np.ones(len(symbols), bool)
+        stay[place + 1] = False
+        symbols, frequent = symbols[stay], frequent[stay]
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -228,22 +246,27 @@ def expansions(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    out = symbols.astype(np.int32)
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids that the symbols stand for; the lengths tell where each begins."""
+    size = np.concatenate([np.ones(base, np.int32), lengths.astype(np.int32)])
     left, right = rules[:, 0].astype(np.int32), rules[:, 1].astype(np.int32)
-    while len(deep := np.flatnonzero(out >= base)):
-        rule = out[deep] - np.int32(base)
-        out[deep] = left[rule]
-        out = np.insert(out, deep + 1, right[rule])
+    symbols = symbols.astype(np.int32)
+    stop = np.cumsum(size[symbols], dtype=np.int64)
+    at = stop - size[symbols]
+    out = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
+    while len(symbols):
+        deep = symbols >= base
+        out[at[~deep]] = symbols[~deep]
+        at, rule = at[deep], symbols[deep] - np.int32(base)
+        first, second = left[rule], right[rule]
+        symbols, at = np.concatenate([first, second]), np.concatenate([at, at + size[first]])
     return out
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
     """A shard's file. ends: of each document, among ids."""
     base = max(base, int(ids.max(initial=0)) + 1)
-    most = min(RULES, (1 << 16) - base) if base < (1 << 16) - 256 else RULES
-    symbols, rules = compress(ids, base, most=most)
+    symbols, rules = compress(ids, base)
     lengths = expansions(rules, base)
     wide = int(symbols.max(initial=0)) >= 1 << 16
     size = np.where(symbols >= base, lengths[np.maximum(symbols - base, 0)], 1) if len(rules) else np.ones(len(symbols), np.int64)
@@ -280,17 +303,40 @@ class Shard:
         self.rules, self.lengths = rules.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        return self.read(0, self.n_ids)
 
     def read(self, start: int, n: int) -> np.ndarray:
-        """n ids from start on; expands the symbols between two samples and no others."""
+        """n ids from start on; of the symbols between two samples, expands those that reach into them and no others."""
         stop = min(start + n, self.n_ids)
         if stop <= start:
             return np.zeros(0, np.int32)
         a = int(np.searchsorted(self.before, start, "right")) - 1
         b = int(np.searchsorted(self.before, stop, "left"))
         some = self.symbols[a * SAMPLE : b * SAMPLE]
-        return expand(some, self.rules, self.base)[start - self.before[a] : stop - self.before[a]]
+        deep = some >= self.base
+        size = np.ones(len(some), np.int64)
+        size[deep] = self.lengths[some[deep] - self.base]
+        ends = np.cumsum(size) + self.before[a]
+        i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        first = int(ends[i] - size[i])
+        return expand(some[i:j], self.rules, self.lengths, self.base)[start - first : stop - first]
+
+    def documents(self) -> tuple[list[int], list[int]]:
+        """The end of each document and the CRC-32 of its ids as 32-bit integers, read some ids at a time."""
+        ends, crcs = self.ends.tolist(), []
+        at = crc = 0
+        for start in range(0, self.n_ids, READ_IDS):
+            raw = self.read(start, READ_IDS).astype("<u4").tobytes()
+            upto = start + len(raw) // 4
+            while len(crcs) < len(ends) and at < upto:
+                stop = min(ends[len(crcs)], upto)
+                crc = zlib.crc32(raw[4 * (at - start) : 4 * (stop - start)], crc)
+                at = stop
+                if ends[len(crcs)] > stop:
+                    break
+                crcs.append(crc)
+                crc = 0
+        return ends, crcs
 
 
 MANIFEST = "part long, number long, file string, docs long, ids long, bytes long"
@@ -361,14 +407,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, start = Shard(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
-                raw = shard.ids().astype("<u4").tobytes()
-                ends = shard.ends.tolist()
+                ends, crcs = shard.documents()
                 begin = [0, *ends[:-1]]
                 out = [
                     pa.array([None if d == NULL_ID else d for d in shard.doc_ids.tolist()], pa.int64()),
                     pa.array([start + a for a in begin], pa.int64()),
                     pa.array([b - a for a, b in zip(begin, ends)], pa.int64()),
-                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin, ends)], pa.int64()),
+                    pa.array(crcs, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(out, schema=schema)
 

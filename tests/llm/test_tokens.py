@@ -4,6 +4,7 @@ import random
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,34 @@ def test_shard_round_trip_and_random_access(values, start, n):
     shard = tokenfiles.Shard(tokenfiles.pack(v, np.array([7]), np.array([len(v)]), 6))
     assert shard.ids().tolist() == values
     assert shard.read(start, n).tolist() == values[start : start + n]
+    before, tokenfiles.READ_IDS = tokenfiles.READ_IDS, 1 + start % 50
+    assert shard.documents() == ([len(values)], [zlib.crc32(v.astype("<u4").tobytes())] if values else [])
+    tokenfiles.READ_IDS = before
+
+
+def pairs(symbols):
+    """How often each pair occurs without overlap."""
+    counts, at = Counter(), {}
+    for i, p in enumerate(zip(symbols, symbols[1:])):
+        if at.get(p) != i - 1 or p[0] != p[1]:
+            counts[p] += 1
+            at[p] = i
+    return counts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 30), st.integers(0, 3000))
+def test_no_frequent_pair_is_left(seed, kinds, n):
+    rnd = random.Random(seed)
+    words = [[rnd.randrange(kinds) for _ in range(rnd.randint(1, 6))] for _ in range(8)]
+    ids_ = [i for _ in range(n // 4) for i in (rnd.choice(words) if rnd.random() < 0.8 else [rnd.randrange(kinds)] * rnd.randint(1, 9))]
+    for base in (kinds, 70_000):  # keys of 32 and of 64 bits
+        symbols, rules = tokenfiles.compress(np.array(ids_, np.int64), base)
+        lengths = tokenfiles.expansions(rules, base)
+        assert tokenfiles.expand(symbols, rules, lengths, base).tolist() == ids_
+        assert max(pairs(symbols.tolist()).values(), default=0) < tokenfiles.LEAST
+        assert len(set(map(tuple, rules.tolist()))) == len(rules)
+        assert len(symbols) + (tokenfiles.LEAST - 1) * len(rules) <= len(ids_)  # each rule is used that often
 
 
 def test_repair_shrinks_what_repeats():

@@ -7,8 +7,8 @@ that were too rare and have no new symbol can only have become rarer, so a round
 how many ids each expands to, the symbols, the ids before every 1024th symbol, and each document's id and end; so
 ``Shard.read(start, n)`` expands only the symbols it needs, and puts each where the expansion lengths tell.
 
-Files have names by partition and number and are moved into place when complete; the stored manifest names those that
-count. Documents with a null doc_id come last; rows that tie are ordered by text. Null texts count as empty (just the end
+Files have names by partition, attempt and number, so a task that runs again writes files of its own; the stored manifest
+names those that count. Documents with a null doc_id come last; rows that tie are ordered by text. Null texts count as empty (just the end
 id); a shard holds one document at least, whatever its length.
 """
 
@@ -352,7 +352,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], np.uint32)
-        part, number = TaskContext.get().partitionId(), 0
+        ctx = TaskContext.get()
+        part, number = ctx.partitionId(), 0
         held: list[np.ndarray] = []
         names: list[int] = []
         size = 0
@@ -360,7 +361,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         def close() -> pa.RecordBatch:
             ends = np.cumsum([len(x) for x in held])
             body = pack(np.concatenate(held), np.array(names, np.int64), ends, enc.size)
-            file = f"ids-{part:06d}-{number:06d}.rpids"
+            file = f"ids-{part:06d}-{ctx.taskAttemptId()}-{number:06d}.rpids"
             put_file(f"{folder}/ids", file, body)
             give_back()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, number, file, len(names), size, len(body)), schema.types)], schema=schema)

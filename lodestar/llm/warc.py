@@ -2,11 +2,13 @@
 
 1. Headers (id, payload digest and length, no payload) are shuffled by digest; the smallest id of each digest that occurs
    more than once is its original, and the join of headers to originals names the revisits. The aggregate combines before
-   the shuffle and the join is one that Spark splits where a digest is hot.
+   the shuffle and the join is one that Spark splits where a digest is hot. The revisits are stored and counted: up to
+   ``MOST_BROADCAST`` of them go to the payloads as a broadcast, and payloads stay where they are; more meet by a join.
 2. Each task writes its records with fresh headers, one gzip member each, to files of bounded size in shared storage, and
-   returns a manifest. A file's name comes from its partition and number, and it is moved into place when complete, so a
-   task that runs again writes the same files. Only files of the committed manifest are read.
-3. Reading parses the members, checks digests of stored payloads, and takes those of revisits from their headers.
+   returns a manifest. A file's name has the task's attempt, so a task that runs again writes files of its own, and only
+   files of the committed manifest are read.
+3. Reading parses the members and checks digests of stored payloads. A revisit takes its length from the response that it
+   refers to, by id and digest; a revisit without its response is an error.
 
 A null html is an empty payload; payloads under ``least`` bytes are always responses. A null page_id is kept (it has no
 WARC-Record-ID of its own and comes last in the order of originals); rows that tie for the smallest id are responses all.
@@ -24,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shared_path
+from lodestar.llm.common import shared_path, stored
 
 LEAST = 100
 #: Compressed bytes after which a task starts another file.
 FILE_BYTES = 8 << 20
+#: Revisits (some 60 bytes each) that are broadcast to the payloads at most.
+MOST_BROADCAST = 500_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -79,22 +83,24 @@ def put_file(folder: str, name: str, body: bytes) -> None:
     fs.move(draft, f"{path}/{name}")
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Write every page's record under folder, and return the stored manifest: file, records, bytes."""
-    revisits = resolve_revisits(headers(pages), least)
+    revisits = stored(resolve_revisits(headers(pages), least), "warc-revisits")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     found = revisits.select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "refers_to")
+    found = F.broadcast(found) if revisits.count() <= most_broadcast else found.hint("merge")
     # by id and digest: an id that repeats with other payloads keeps each row's own answer
     rows = rows.join(found, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
     files = f"{folder}/warc"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        ctx = TaskContext.get()
+        part, number, held, size = f"{ctx.partitionId():06d}-{ctx.taskAttemptId()}", 0, [], 0
 
         def close() -> pa.RecordBatch:
-            name = f"pages-{part:06d}-{number:05d}.warc.gz"
+            name = f"pages-{part}-{number:05d}.warc.gz"
             put_file(files, name, b"".join(held))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)]), pa.array([size])], schema=schema)
 
@@ -138,12 +144,14 @@ def _row(f: dict) -> tuple:
     digest, revisit = f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"] == "revisit"
     if not revisit and hashlib.sha256(f["payload"]).hexdigest() != digest:
         raise ValueError(f"the payload of {f['warc-record-id']} doesn't match its digest")
-    length = int(f["http-length"]) if revisit else len(f["payload"])
-    return number(f["warc-record-id"]), length, digest, f["warc-type"], number(f.get("warc-refers-to", "")), f["warc-target-uri"]
+    return number(f["warc-record-id"]), None if revisit else len(f["payload"]), digest, f["warc-type"], number(f.get("warc-refers-to", "")), f["warc-target-uri"]
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the archives that the manifest under folder names."""
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record of the archives that the manifest under folder names; those of revisits have no length."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +160,22 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 rows = [_row(parse_record(m)) for m in members(batch.column(0)[k].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    names = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
     manifest = spark.read.schema("file string, records long, bytes long").parquet(f"{folder}/manifest")
     if manifest.isEmpty():
-        return spark.createDataFrame([], names)
+        return spark.createDataFrame([], RECORDS)
     there = spark.read.format("binaryFile").load(f"{folder}/warc").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return there.join(manifest.select("file"), "file", "left_semi").select("content").mapInArrow(run, names)
+    return there.join(manifest.select("file"), "file", "left_semi").select("content").mapInArrow(run, RECORDS)
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record, with the length of the payload that it stands for."""
+    # without payloads, and read twice
+    records = stored(read_records(spark, folder), "warc-records")
+    responses = records.where("record_type = 'response'")
+    held = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("found"))
+    revisits = records.where("record_type = 'revisit'").join(held, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit of "), F.col("refers_to").cast("string"), F.lit(" lacks its response"))).cast("long")
+    return responses.unionByName(revisits.withColumn("payload_bytes", F.coalesce("found", lost)).drop("found"))
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:

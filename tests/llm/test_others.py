@@ -181,12 +181,13 @@ def test_media_columns(spark, edge_docs, no_docs):
 # ---------------------------------------------------------------- WARC
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("most_broadcast", [0, 1000])
+def test_archives(spark, most_broadcast):
     big = "<html>" + "x" * 200
     rows = [(5, "http://a", big), (3, None, big), (9, "http://c\r\nX: y", big), (1, "u", "small"), (2, "u", "small"), (4, "u", None), (None, "n", big), (7, "u", "é" * 60), (7, "u", "é" * 60), (8, "u", "é" * 60), (3, "u", "other" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     folder = shared_path(spark, "warc-test")
-    manifest = warc.write_archives(pages, folder, file_bytes=300)
+    manifest = warc.write_archives(pages, folder, file_bytes=300, most_broadcast=most_broadcast)
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, folder).collect())
     want = [("1", 5, "response", None), ("2", 5, "response", None), ("3", 206, "response", None), ("3", 250, "response", None), ("4", 0, "response", None), ("5", 206, "revisit", 3)]
@@ -195,6 +196,15 @@ def test_archives(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_a_revisit_needs_its_response(spark):
+    folder = shared_path(spark, "warc-lost")
+    record = warc._member(warc._record(7, "u", b"y" * 300, hashlib.sha256(b"y" * 300).hexdigest(), 3))
+    warc.put_file(f"{folder}/warc", "pages-0.warc.gz", record)
+    spark.createDataFrame([("pages-0.warc.gz", 1, len(record))], "file string, records long, bytes long").write.parquet(f"{folder}/manifest")
+    with pytest.raises(Exception, match="lacks its response"):
+        warc.read_archives(spark, folder).collect()
+
+
 # ---------------------------------------------------------------- pivots
 
 

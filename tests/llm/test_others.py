@@ -208,18 +208,49 @@ def test_a_revisit_needs_its_response(spark):
 # ---------------------------------------------------------------- pivots
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 5))
-def test_block_top_k_is_brute_force(seed, n, k):
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 5), st.sampled_from([6, 10**4, 2**40]), st.integers(1, 4))
+def test_block_top_k_is_brute_force(seed, n, k, size, n_blocks):
     rnd = np.random.default_rng(seed)
-    x = rnd.integers(-6, 7, (n, 4)).astype(float)
+    x = rnd.integers(-size, size + 1, (n, 4)).astype(float)
     ids = rnd.permutation(n * 2)[:n]
-    got = pivots.block_top_k(ids[:5], x[:5], ids, x, x[: min(3, n)], k)
+    pivots_ = pivots.far_pivots(x, 3)
+    top = float((x * x).sum(axis=1).max())
+    q, q_ids = x[:5], ids[:5]
+    best = pivots.Best(np.full(len(q), -np.inf), k)
+    before, pivots.STEP = pivots.STEP, 7
+    got = []
+    for part in np.array_split(np.arange(n), n_blocks):  # thresholds go from block to block
+        if len(part):
+            got += pivots.block_top_k(q_ids, q, pivots.to_pivots(q, pivots_), ids[part], x[part], pivots.to_pivots(x[part], pivots_, top), top, best)
+    pivots.STEP = before
     want = []
+    exact = [[int(v) for v in row] for row in x]
     for i in range(min(5, n)):
-        s = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(n) if j != i)[:k]
+        s = sorted((-sum(a * b for a, b in zip(exact[i], exact[j])), int(ids[j])) for j in range(n) if j != i)[:k]
         want += [(int(ids[i]), j, -v) for v, j in s]
-    assert got == want
+    ranked = []
+    for i in q_ids.tolist():
+        ranked += [(i, j, v) for v, j in sorted(((-v, j) for a, j, v in got if a == i))[:k]]
+    assert [(a, j, -v) for a, j, v in ranked] == want
+
+
+def test_clusters_are_left_out_unseen():
+    """Where vectors have clusters, most candidates are never evaluated; far pivots find the clusters."""
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(8, 16)) * 60
+    x = np.floor(centres[rnd.integers(0, 8, 4000)] + rnd.normal(size=(4000, 16)) * 3)
+    x *= (1000 / np.linalg.norm(x, axis=1))[:, None]
+    x = np.floor(x)
+    pivots_, top, ids = pivots.far_pivots(x[:500], 16), float((x * x).sum(axis=1).max()), np.arange(4000)
+    q = x[:20]
+    best = pivots.Best(np.full(20, -np.inf), 10)
+    got = pivots.block_top_k(ids[:20], q, pivots.to_pivots(q, pivots_), ids, x, pivots.to_pivots(x, pivots_, top), top, best)
+    scores = (q @ x.T).astype(int)
+    for i in range(20):
+        want = sorted((-s, j) for j, s in enumerate(scores[i].tolist()) if j != i)[:10]
+        assert sorted((-s, j) for a, j, s in got if a == i)[:10] == want
+    assert best.evaluated < 0.5 * best.met
 
 
 def test_vectors_that_take_no_part(spark):

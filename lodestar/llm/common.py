@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import re
 import tempfile
 import uuid
@@ -33,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests);
+    on a cluster that is an error."""
     ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT.get(spark.sparkContext.applicationId)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _OWN_ROOT[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestar-")
     # with its scheme, so that Spark and the tasks that write files themselves mean the same place
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -44,13 +48,37 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + full[5:] if re.match("file:/[^/]", full) else full
 
 
+#: Folders made within each open scratch().
+_SCRATCH: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators stored within it. Results that are still lazy must be written before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            discard(spark, path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df written to shared storage and read back: lineage ends here, and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, what)
+    path = path or shared_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -129,6 +157,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Bytes over which a word is hashed by BLAKE2b.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, mixed after every 8 bytes: no structure of the bytes makes spans collide."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    open_ = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        open_ = open_[size[open_] > at]
+        if not len(open_):
+            break
+        left = np.minimum(size[open_] - at, 8).astype(np.uint64)
+        some = eight[starts[open_] + at].astype(np.uint64) & (np.uint64(MASK) >> (np.uint64(64) - np.uint64(8) * left))
+        out[open_] = mix(out[open_] * np.uint64(MIX_B) + some)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -156,10 +207,6 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray,
     return data, offsets
 
 
-def bytes_at(data: np.ndarray, offsets: np.ndarray, i: int) -> np.ndarray:
-    return data[offsets[i] : offsets[i + 1]]
-
-
 def byte_groups(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold at most limit bytes each, or a single row."""
     i, n = 0, len(offsets) - 1

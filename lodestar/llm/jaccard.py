@@ -1,17 +1,20 @@
 """N-gram Jaccard join: sets in a prefix tree, for near-duplicate documents and their classes.
 
-A document's set holds the hashes of its different 5-word shingles (64 bits, so counts are exact up to collisions within
-a pair of documents; with fewer words the whole sequence is one shingle). The steps:
+A document's set holds 64-bit hashes of its different 5-word shingles (with fewer words the whole sequence is one), so
+counts are exact but for hashes that agree by chance: 2**-64 for two shingles. The steps:
 
 1. Document frequencies: chunks send their different shingles to buckets (packed, in 40 bits), which answer with the
-   frequency's class. Rare classes first, then by hash, is a global order of shingles.
-2. Two sets with a similarity of t share a shingle among the first n - ceil(t n) + 1 of each. Those of these shingles that
-   occur elsewhere go to buckets, whose stars connect the sets into candidate groups.
-3. Each candidate group (large ones: each pair of its blocks, so no task holds more than two blocks) builds a prefix tree
-   of its sets, in an order of its own with the most frequent shingle first, so that sets share long paths. A set walks
-   the tree from the root: what it shares with a path counts once for all sets below, and a subtree is left where its
-   remaining lengths can't reach the similarity, or where all its sets are in the walker's class already.
-4. Links between different sets make classes; documents with equal sets are one node throughout.
+   frequency's class. Class and hash give a global order of shingles.
+2. Two sets with a similarity of t share a shingle among the n - ceil(t n) + 1 rarest of each, its prefix. Prefix shingles
+   that occur elsewhere go to buckets, a chunk's once each, whose stars connect the sets into candidate groups.
+3. The sets of a candidate group, in the global order with frequent shingles first, make a prefix tree. A set walks it from
+   the root: what it shares with a path counts once for all sets below, and a subtree is left where its remaining lengths
+   can't reach the similarity, or where all its sets are in the walker's class already.
+4. Groups of over ``block_sets`` sets first join blocks of sets that have their leading shingle in common; every block of
+   one leading shingle has the same few of its sets too, so copies of one text fall into one class. Then only sets of
+   different classes that share a prefix shingle are left: classes are dealt into blocks, and of the pairs of blocks those
+   are joined in which such sets meet.
+5. Links between different sets make classes; documents with equal sets are one node throughout.
 
 Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id share one answer if their
 texts are equal. A class with only null ids has a null id.
@@ -27,8 +30,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestar.llm.common import byte_groups, give_back, lower_ascii, run_hashes, shuffle_partitions, span_hashes, stored, word_spans
+from lodestar.llm.common import byte_groups, give_back, lower_ascii, run_hashes, shuffle_partitions, stored, word_hashes, word_spans
 from lodestar.llm.graph import components
 from lodestar.llm.repeats import _CHUNKS, BUCKET_BYTES, NULL_ID, Chunk, open_chunk, pack_chunks, ranges, rows_of
 
@@ -36,7 +40,7 @@ N = 5
 #: The least similarity, in hundredths.
 PERCENT = 75
 #: Different sets that a task joins with one another, or half of those of a pair of blocks.
-BLOCK_SETS = 1000
+BLOCK_SETS = 400
 #: Bytes of texts that are hashed at a time, if a text isn't longer.
 GROUP_BYTES = 1 << 17
 KEY_BITS = 40
@@ -52,7 +56,7 @@ def shingle_sets(chunk: Chunk, n: int = N) -> list[np.ndarray]:
         some = b" ".join(raw[a:b] for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist()))
         data = lower_ascii(np.frombuffer(some, np.uint8))
         starts, ends = word_spans(data)
-        words = span_hashes(data, starts, ends)
+        words = word_hashes(data, starts, ends)
         shingles = run_hashes(words, n)
         stops = offsets[i + 1 : j + 1] - offsets[i] + np.arange(j - i)
         a = 0
@@ -144,11 +148,15 @@ def _answer_classes(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------- candidates
 
-DOCS = "kind int, gid long, place int, doc_id long, n_shingles long, set_key binary, bucket int, packed binary"
+DOCS = "kind int, gid long, place int, doc_id long, n_shingles long, set_key binary, lead long, bucket int, packed binary"
 _DOCS = pa.schema(
-    [("kind", pa.int32()), ("gid", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bucket", pa.int32()), ("packed", pa.binary())]
+    [("kind", pa.int32()), ("gid", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("lead", pa.int64())]
+    + [("bucket", pa.int32()), ("packed", pa.binary())]
 )
 _PAIR = np.dtype([("token", "<u8"), ("node", "<i8")])
+_EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
+#: Kinds of rows: documents, prefix shingles with sets, edges between sets.
+ROWS, PAIRS, EDGES = 0, 1, 2
 
 
 def node_of(key: bytes) -> int:
@@ -156,37 +164,58 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+class Classed:
+    """The sets of a chunk with the frequency classes of their shingles."""
+
+    def __init__(self, chunk: Chunk, answers: list, buckets: int) -> None:
+        unpack = zstandard.ZstdDecompressor()
+        self.sets, self.keys, self.heads = _distinct_sets(chunk)
+        sent, _, borders = _sent([self.sets[i] for i in self.heads], buckets)
+        classes = np.zeros(len(sent), np.uint8)
+        for a in answers or ():
+            classes[borders[a["bucket"]] : borders[a["bucket"] + 1]] = np.frombuffer(unpack.decompress(a["mask"]), np.uint8)
+        order = np.argsort(sent)
+        self.known, self.classes = sent[order], classes[order]
+
+    def of(self, i: int) -> np.ndarray:
+        return self.classes[np.searchsorted(self.known, self.sets[i] >> np.uint64(64 - KEY_BITS))]
+
+    def prefix(self, i: int, percent: int) -> np.ndarray:
+        """The shingles of the prefix that occur elsewhere."""
+        tokens, cls = self.sets[i], self.of(i)
+        first = np.argsort(cls, kind="stable")[: len(tokens) - needed(len(tokens), percent) + 1]
+        return tokens[first[cls[first] > 0]]
+
+    def lead(self, i: int) -> int:
+        """The most frequent shingle's hash, of those of one class the smallest."""
+        return int(self.sets[i][int(np.argmax(self.of(i)))].astype(np.int64)) if len(self.sets[i]) else 0
+
+
 def _send_prefixes(buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for *row, answers in rows_of(batches):
             chunk = open_chunk(*row)
-            sets, keys, heads = _distinct_sets(chunk)
-            sent, _, borders = _sent([sets[i] for i in heads], buckets)
-            classes = np.zeros(len(sent), np.uint8)
-            for a in answers or ():
-                classes[borders[a["bucket"]] : borders[a["bucket"] + 1]] = np.frombuffer(unpack.decompress(a["mask"]), np.uint8)
-            order = np.argsort(sent)
-            sent, classes = sent[order], classes[order]
+            own = Classed(chunk, answers, buckets)
+            n = len(own.sets)
+            lead = [0] * n
             found = []
-            for i in heads:
-                tokens = sets[i]
-                cls = classes[np.searchsorted(sent, tokens >> np.uint64(64 - KEY_BITS))]
-                first = np.argsort(cls, kind="stable")[: len(tokens) - needed(len(tokens), percent) + 1]
-                first = first[cls[first] > 0]
+            for i in own.heads:
+                lead[i] = own.lead(i)
+                first = own.prefix(i, percent)
                 if len(first):
                     pairs = np.empty(len(first), _PAIR)
-                    pairs["token"], pairs["node"] = tokens[first], node_of(keys[i])
+                    pairs["token"], pairs["node"] = first, node_of(own.keys[i])
                     found.append(pairs)
-            n = len(sets)
-            columns = [[0] * n, [chunk.gid] * n, list(range(n)), [None if d == NULL_ID else d for d in chunk.ids.tolist()], [len(s) for s in sets], keys, [None] * n, [None] * n]
+            columns = [[ROWS] * n, [chunk.gid] * n, list(range(n)), [None if d == NULL_ID else d for d in chunk.ids.tolist()], [len(s) for s in own.sets], own.keys, lead, [None] * n, [None] * n]
             if found:
-                pairs = np.concatenate(found)
+                pairs, edges = _combined(np.concatenate(found))
+                for c, v in zip(columns, (EDGES, chunk.gid, None, None, None, None, None, None, edges.tobytes())):
+                    c.append(v)
                 bucket = pairs["token"] % np.uint64(buckets)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    for c, v in zip(columns, (1, chunk.gid, None, None, None, None, b, pairs[by[cuts[b] : cuts[b + 1]]].tobytes())):
+                    for c, v in zip(columns, (PAIRS, chunk.gid, None, None, None, None, None, b, pairs[by[cuts[b] : cuts[b + 1]]].tobytes())):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _DOCS.types)], schema=_DOCS)
 
@@ -214,19 +243,38 @@ class Forest:
         return True
 
 
-def _connect(table: pa.Table) -> pa.Table:
-    """Edges that connect the sets which share a token of the bucket: for each class, from its smallest node."""
-    pairs = np.concatenate([np.frombuffer(x.as_py(), _PAIR) for x in table.column("packed")])
+def _combined(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token once, with the first set of the class that those which share it make; and edges from sets to these."""
     pairs = pairs[np.argsort(pairs["token"], kind="stable")]
     nodes, at = np.unique(pairs["node"], return_inverse=True)
     forest = Forest(len(nodes))
     same = np.flatnonzero(pairs["token"][1:] == pairs["token"][:-1])
-    links = np.unique(np.stack([at[same], at[same + 1]], axis=1), axis=0) if len(same) else np.zeros((0, 2), np.int64)
-    for i, j in links.tolist():
+    links = np.unique(at[same] << 32 | at[same + 1])
+    for i, j in zip((links >> 32).tolist(), (links & 0xFFFFFFFF).tolist()):
         forest.join(i, j)
-    edges = [(int(nodes[i]), int(nodes[forest.root(i)])) for i in range(len(nodes)) if forest.root(i) != i]
-    a, b = zip(*edges) if edges else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    root = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+    apart = np.flatnonzero(root != np.arange(len(nodes)))
+    edges = np.empty(len(apart), _EDGE)
+    edges["a"], edges["b"] = nodes[apart], nodes[root[apart]]
+    heads = np.flatnonzero(np.concatenate([[True], pairs["token"][1:] != pairs["token"][:-1]]))
+    out = pairs[heads].copy()
+    out["node"] = nodes[root[at[heads]]]
+    return out, edges
+
+
+def _edge_table(edges: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(edges["a"], pa.int64()), "b": pa.array(edges["b"], pa.int64())})
+
+
+def _connect(table: pa.Table) -> pa.Table:
+    """Edges that connect the sets which share a token of the bucket: for each class, from its smallest node."""
+    return _edge_table(_combined(np.concatenate([np.frombuffer(x.as_py(), _PAIR) for x in table.column("packed")]))[1])
+
+
+def _unpack_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            yield from _edge_table(np.frombuffer(x.as_py(), _EDGE)).to_batches()
 
 
 # ---------------------------------------------------------------- the prefix tree
@@ -332,13 +380,21 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect the classes of similar sets (enough of them to connect, not all within a class)."""
-    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+def tree_join(sets: list[np.ndarray], classes: list[np.ndarray], percent: int = PERCENT, labels: list[str | None] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the classes of similar sets (enough of them to connect, not all within a class).
+
+    classes: the frequency class of each token, which with the token itself is the global order; labels: classes that
+    sets are known to be in, or None.
+    """
+    every, where = np.unique(np.concatenate(sets), return_index=True)
     rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, -counts))] = np.arange(len(every))
+    rank[np.lexsort((every, -np.concatenate(classes)[where].astype(np.int64)))] = np.arange(len(every))
     tree = PrefixTree([np.sort(rank[np.searchsorted(every, s)]) for s in sets])
     forest = Forest(len(sets))
+    known: dict[str, int] = {}
+    for i, name in enumerate(labels or ()):
+        if name is not None:
+            forest.join(i, known.setdefault(name, i))
     links: list[tuple[int, int]] = []
     label = low = high = None
     stale = 0
@@ -357,9 +413,12 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
 
 def _join_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("set_key").to_pylist()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
-        links = tree_join(sets, percent) if len(sets) > 1 else []
+        # a set that comes by several ways counts once
+        first = {key: i for i, key in reversed(list(enumerate(table.column("set_key").to_pylist())))}
+        keys, at = list(first), list(first.values())
+        sets, classes = ([np.frombuffer(table.column(name)[i].as_py(), kind) for i in at] for name, kind in (("tokens", np.uint64), ("classes", np.uint8)))
+        labels = [table.column("label")[i].as_py() for i in at]
+        links = tree_join(sets, classes, percent, labels) if len(sets) > 1 else []
         if len(sets) > 200:
             give_back()
         return pa.table({"a": pa.array([keys[i].hex() for i, _ in links], pa.string()), "b": pa.array([keys[j].hex() for _, j in links], pa.string())})
@@ -367,47 +426,173 @@ def _join_group(percent: int):
     return run
 
 
-def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("root", pa.int64()), ("pair", pa.int64()), ("set_key", pa.binary()), ("tokens", pa.binary())])
-    for *row, asked in rows_of(batches):
-        sets = shingle_sets(open_chunk(*row))
-        out = [(a["root"], pair, a["set_key"], sets[a["place"]].tobytes()) for a in asked for pair in a["pairs"]]
-        for k in range(0, len(out), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 500]), schema.types)], schema=schema)
+SETS = "root long, pair long, set_key binary, label string, tokens binary, classes binary"
+
+
+def _send_sets(buckets: int):
+    schema = pa.schema([("root", pa.int64()), ("pair", pa.int64()), ("set_key", pa.binary()), ("label", pa.string()), ("tokens", pa.binary()), ("classes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *row, answers, asked in rows_of(batches):
+            own = Classed(open_chunk(*row), answers, buckets)
+            out = []
+            for a in asked:
+                sent = (own.sets[a["place"]].tobytes(), own.of(a["place"]).tobytes())
+                out += [(a["root"], pair, a["set_key"], a["label"], *sent) for pair in a["pairs"]]
+            for k in range(0, len(out), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 500]), schema.types)], schema=schema)
+
+    return run
+
+
+def _send_tokens(buckets: int, percent: int):
+    """The prefix shingles of sets with the blocks that these are in, each once a chunk."""
+    schema = pa.schema([("root", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("pure", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *row, answers, asked in rows_of(batches):
+            own = Classed(open_chunk(*row), answers, buckets)
+            tokens: dict[tuple, list[np.ndarray]] = {}
+            for a in asked:
+                tokens.setdefault((a["root"], a["block"], a["pure"]), []).append(own.prefix(a["place"], percent))
+            for (root, block, pure), some in tokens.items():
+                some = np.unique(np.concatenate(some)).astype(np.int64)
+                columns = [np.full(len(some), root), some, np.full(len(some), block), [pure] * len(some)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return run
+
+
+class _Chunks:
+    """The chunks with the classes of their shingles, and what each is asked for."""
+
+    def __init__(self, chunks: DataFrame, classes: DataFrame, buckets: int, percent: int) -> None:
+        self.chunks, self.classes, self.buckets, self.percent = chunks, classes, buckets, percent
+        self.columns = [*_CHUNKS.names[:5]]
+
+    def asked(self, what: DataFrame, *names: str) -> DataFrame:
+        asked = what.groupBy("gid").agg(F.collect_list(F.struct(*names)).alias("asked"))
+        return self.chunks.join(self.classes, "gid").join(asked, "gid").select(*self.columns, "classes", "asked")
+
+    def links(self, placed: DataFrame) -> DataFrame:
+        """Links of the sets that meet; placed: gid, place, root, set_key, label and the groups (pairs) a set goes to."""
+        sets = self.asked(placed, "place", "root", "set_key", "label", "pairs").mapInArrow(_send_sets(self.buckets), SETS)
+        return sets.groupBy("root", "pair").applyInArrow(_join_group(self.percent), "a string, b string")
+
+
+def _first_blocks(heads: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
+    """Small groups whole; of large ones, the sets of one leading shingle in blocks that have four of them in common."""
+    key = "set_key"
+    lead = F.when(F.col("n") <= block_sets, F.lit(0).cast("long")).otherwise(F.col("lead"))
+    heads = heads.join(sizes, "root").withColumn("lead", lead)
+    shared = F.array(F.min(key), F.max(key), F.min_by(key, F.xxhash64(key)), F.max_by(key, F.xxhash64(key)))
+    leads = heads.groupBy("root", "lead").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("long").alias("blocks"), shared.alias("shared"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    own = F.array(F.pmod(F.xxhash64(key, F.lit(1)), "blocks"))
+    numbers = F.when(F.array_contains("shared", F.col(key)), every).otherwise(own)
+    pairs = F.transform(numbers, lambda i: F.xxhash64("lead", i))
+    return heads.join(leads, ["root", "lead"]).select("gid", "place", "root", key, F.lit(None).cast("string").alias("label"), pairs.alias("pairs"))
+
+
+def _other_blocks(chunks: _Chunks, heads: DataFrame, classes: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame | None:
+    """The sets of large groups that are in several classes, in pairs of blocks where a prefix shingle spans classes."""
+    heads = heads.join(sizes.where(F.col("n") > block_sets), "root").withColumn("set", F.lower(F.hex("set_key")))
+    heads = heads.join(classes, "set", "left").withColumn("label", F.coalesce("class", "set"))
+    per_class = heads.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n_class"))
+    small = F.sum(F.when(F.col("n_class") < block_sets, F.col("n_class")).otherwise(0))
+    per_root = per_class.groupBy("root").agg(F.count(F.lit(1)).alias("n_classes"), small.alias("n_small")).where("n_classes > 1")
+    placed = heads.join(per_class, ["root", "label"]).join(per_root, "root")
+    of_large = F.xxhash64("label", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n_class") / block_sets).cast("long")))
+    of_small = F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n_small") / block_sets).cast("long")))
+    large = F.col("n_class") >= block_sets
+    placed = placed.withColumn("block", F.when(large, of_large).otherwise(of_small)).withColumn("pure", F.when(large, F.col("label")))
+    placed = stored(placed.select("gid", "place", "root", "set_key", "label", "block", "pure"), "jaccard-placed")
+    if placed.isEmpty():
+        return None
+    tokens = chunks.asked(placed, "place", "root", "block", "pure").mapInArrow(_send_tokens(chunks.buckets, chunks.percent), "root long, token long, block long, pure string")
+    meeting = tokens.groupBy("root", "token").agg(F.sort_array(F.collect_set(F.struct("block", "pure"))).alias("blocks"))
+    # shingles of the same sets have the same blocks
+    meeting = meeting.select("root", "blocks").distinct()
+    others = lambda x: F.filter("blocks", lambda y: (y["block"] >= x["block"]) & ~F.coalesce(y["pure"] == x["pure"], F.lit(False)))
+    met = F.flatten(F.transform("blocks", lambda x: F.transform(others(x), lambda y: F.struct(x["block"].alias("i"), y["block"].alias("j")))))
+    met = meeting.select("root", F.explode(met).alias("p")).select("root", "p.i", "p.j").distinct()
+    both = F.array_distinct(F.array("i", "j"))
+    goes = met.select("root", F.explode(both).alias("block"), F.xxhash64("i", "j").alias("pair")).groupBy("root", "block").agg(F.collect_list("pair").alias("pairs"))
+    return placed.join(goes, ["root", "block"]).select("gid", "place", "root", "set_key", "label", "pairs")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; component_id is the smallest doc_id it is connected with."""
-    chunks = pack_chunks(docs, "jaccard-chunks")
+    return _classes(pack_chunks(docs, "jaccard-chunks"), percent, block_sets).select("doc_id", "n_shingles", "component_id")
+
+
+def _kept(names: list[str], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *row, places in rows_of(batches):
+            chunk = open_chunk(*row)
+            data, starts, places = chunk.data.tobytes(), chunk.starts, sorted(places)
+            columns = {
+                "doc_id": pa.array([None if (d := int(chunk.ids[i])) == NULL_ID else d for i in places], pa.int64()),
+                "text": pa.array([data[starts[i] : chunk.ends[i]].decode() for i in places], pa.string()),
+            }
+            if len(names) > 2:
+                others = chunk.carried.take(pa.array(places))
+                columns |= {name: others.column(name).combine_chunks() for name in others.column_names}
+            yield pa.RecordBatch.from_arrays([columns[name].cast(schema.field(name).type) for name in names], schema=schema)
+
+    return run
+
+
+def one_of_each(docs: DataFrame, carry: tuple[str, ...] = (), percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """doc_id, text and the columns to carry, of one row of each class of near duplicates: the one with the smallest doc_id.
+
+    Rows are told apart by where they stand, so ids may be null (these come last) or repeat with other texts. Rows without
+    words are all kept; a null text comes back empty.
+    """
+    chunks = pack_chunks(docs, "jaccard-chunks", carry=carry)
+    rows = _classes(chunks, percent, block_sets).select("gid", "place", "doc_id", "set", "class")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "set", "gid", "place")
+    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("at")).select("at.gid", "at.place")
+    places = rows.where("class IS NULL").select("gid", "place").unionByName(least).groupBy("gid").agg(F.collect_list("place").alias("places"))
+    kinds = {"doc_id": "bigint", "text": "string"} | {c: t for c, t in docs.dtypes if c in carry}
+    names = ["doc_id", "text", *carry]
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ", ".join(f"`{n}` {kinds[n]}" for n in names)).schema)
+    asked = chunks.join(places, "gid").select(*_CHUNKS.names, "places")
+    return asked.mapInArrow(_kept(names, schema), ", ".join(f"`{n}` {kinds[n]}" for n in names))
+
+
+def _classes(chunks: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Of each row: gid, place, doc_id, n_shingles, component_id, the key of its set, and its class (null for empty sets)."""
+    spark = chunks.sparkSession
     total = chunks.agg(F.sum("raw_bytes")).first()[0] or 0
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
     columns = [*_CHUNKS.names[:5]]
     sent = chunks.select(*columns).mapInArrow(_send_keys(buckets), "bucket int, gid long, keys binary, counts binary")
-    classes = sent.groupBy("bucket").applyInArrow(_answer_classes, "gid long, bucket int, mask binary")
-    classes = classes.groupBy("gid").agg(F.collect_list(F.struct("bucket", "mask")).alias("classes"))
-    found = chunks.join(classes, "gid", "left").select(*columns, "classes").mapInArrow(_send_prefixes(buckets, percent), DOCS)
+    frequencies = sent.groupBy("bucket").applyInArrow(_answer_classes, "gid long, bucket int, mask binary")
+    frequencies = stored(frequencies.groupBy("gid").agg(F.collect_list(F.struct("bucket", "mask")).alias("classes")), "jaccard-frequencies")
+    found = chunks.join(frequencies, "gid", "left").select(*columns, "classes").mapInArrow(_send_prefixes(buckets, percent), DOCS)
     found = stored(found, "jaccard-docs")
-    edges = found.where("kind = 1").select("bucket", "packed").groupBy("bucket").applyInArrow(_connect, "a long, b long")
+    edges = found.where(F.col("kind") == PAIRS).select("bucket", "packed").groupBy("bucket").applyInArrow(_connect, "a long, b long")
+    edges = edges.unionByName(found.where(F.col("kind") == EDGES).select("packed").mapInArrow(_unpack_edges, "a long, b long"))
     groups = components(edges, "jaccard-candidates")
-    rows = found.where("kind = 0").select("gid", "place", "doc_id", "n_shingles", "set_key")
+    rows = found.where(F.col("kind") == ROWS).select("gid", "place", "doc_id", "n_shingles", "set_key", "lead")
     # one chunk provides each different set
-    heads = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("gid", "place")).alias("at")).select("set_key", "at.gid", "at.place")
-    heads = heads.withColumn("node", _node(F.col("set_key"))).join(groups, "node").select("set_key", "gid", "place", "root")
-    sizes = heads.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("long").alias("blocks"))
-    block = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    # a pair of blocks i <= j is the number i * blocks + j; a set goes to the pairs of its own block with every other
-    spread = F.transform(other, lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
-    placed = heads.join(sizes, "root").withColumn("block", block).withColumn("pairs", spread)
-    asked = placed.groupBy("gid").agg(F.collect_list(F.struct("place", "root", "set_key", "pairs")).alias("asked"))
-    sets = chunks.join(asked, "gid").select(*columns, "asked").mapInArrow(_send_sets, "root long, pair long, set_key binary, tokens binary")
-    links = sets.groupBy("root", "pair").applyInArrow(_join_group(percent), "a string, b string")
-    classes = components(links, "jaccard-links").withColumnsRenamed({"node": "set", "root": "class"})
-    keyed = rows.select("doc_id", "n_shingles", F.lower(F.hex("set_key")).alias("set"))
+    heads = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("gid", "place", "lead")).alias("at")).select("set_key", "at.*")
+    heads = stored(heads.withColumn("node", _node(F.col("set_key"))).join(groups, "node").select("set_key", "gid", "place", "lead", "root"), "jaccard-heads")
+    sizes = heads.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    provider = _Chunks(chunks, frequencies, buckets, percent)
+    links = stored(provider.links(_first_blocks(heads, sizes, block_sets)), "jaccard-links")
+    classes = components(links, "jaccard-classes").withColumnsRenamed({"node": "set", "root": "class"})
+    if not sizes.where(F.col("n") > block_sets).isEmpty():
+        left = _other_blocks(provider, heads, classes, sizes, block_sets)
+        if left is not None:
+            more = provider.links(left).unionByName(classes.select(F.col("set").alias("a"), F.col("class").alias("b")))
+            classes = components(more, "jaccard-classes").withColumnsRenamed({"node": "set", "root": "class"})
+    keyed = rows.select("gid", "place", "doc_id", "n_shingles", F.lower(F.hex("set_key")).alias("set"))
     keyed = keyed.join(classes, "set", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "set")))
     # stored, so that the join with it is one that Spark can split at hot classes
     least = stored(keyed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    return keyed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return keyed.join(least, "class", "left").select("gid", "place", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set", "class")
 
 
 def _node(key):

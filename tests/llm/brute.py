@@ -13,6 +13,19 @@ def sha(b):
 
 def suffix(rows, width=200, keep_first=False):
     """(n_bytes, n_removed, n_spans, sha256) of each (doc_id, text)."""
+    out = []
+    for b, gone in _suffix_marks(rows, width, keep_first):
+        spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
+        out.append((len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
+    return out
+
+
+def suffix_kept(rows, width=200, keep_first=False):
+    """The bytes that stay of each (doc_id, text)."""
+    return [bytes(x for x, g in zip(b, gone) if not g) for b, gone in _suffix_marks(rows, width, keep_first)]
+
+
+def _suffix_marks(rows, width, keep_first):
     raws = [(MAX if i is None else i, (t or "").encode()) for i, t in rows]
     count, first = Counter(), {}
     for i, b in raws:
@@ -27,8 +40,7 @@ def suffix(rows, width=200, keep_first=False):
             w = b[k : k + width]
             if (first[w] < (i, k)) if keep_first else count[w] > 1:
                 gone[k : k + width] = b"\1" * width
-        spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
-        out.append((len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
+        out.append((b, gone))
     return out
 
 

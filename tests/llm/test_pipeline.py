@@ -24,6 +24,17 @@ def test_one_of_each_class_stays(spark):
     assert sorted(str(r["doc_id"]) for r in C.near_duplicate_stage(spark, docs, SF).collect()) == ["1", "2", "3", "4", "None"]
 
 
+def test_ids_that_repeat_or_lack(spark):
+    """Rows go by their texts: another text of an id stays, and copies without ids go."""
+    t = " ".join(f"w{i}" for i in range(50))
+    near = t.replace("w25", "other")
+    far = " ".join(f"v{i}" for i in range(30))
+    rows = [(5, t), (5, far), (3, t), (None, near), (None, near), (None, far + " end"), (None, "one two"), (None, "one  two"), (8, "")]
+    docs = spark.createDataFrame([(i, x, None, "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"].split()[:1]) for r in C.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == [("3", ["w0"]), ("5", ["v0"]), ("8", []), ("None", ["one"])]
+
+
 def test_later_copies_go_and_first_ones_stay(spark):
     p = "".join(chr(97 + i * i % 23) + str(i) for i in range(150))
     rows = [(1, "first " + p + " end"), (2, p), (3, "before " + p), (4, "own text")]

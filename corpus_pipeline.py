@@ -1,8 +1,7 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns the documents that go on.
 
 Documents are rows of doc_id, text, lang, source and n_chars; each stage's result is written as Parquet and read again.
-Extra columns are dropped at the first stage. Rows that share a doc_id and text count as one document from the second
-stage on.
+Extra columns are dropped at the first stage. Ids may be null or repeat: rows are judged by their texts.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, exact, jaccard, mixing, quality
-from lodestar.llm.common import shared_path, table
+from lodestar.llm.common import discard, scratch, shared_path, table
 from lodestar.llm.queries import MIXTURE, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,12 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one whose id the class has."""
-    classes = jaccard.near_duplicates(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    first = ["doc_id", F.md5(F.coalesce("text", F.lit("")))]
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__text", first[1])
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
+    """One document of each class of near duplicates: the one with the smallest id. Null texts come back empty."""
+    return jaccard.one_of_each(docs, COLUMNS[2:]).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,15 +55,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents, with each result but the last in shared storage."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = shared_path(spark, f"pipeline-{k}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """The stages over the table documents, with each result but the last in shared storage while it is needed."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = shared_path(spark, "pipeline")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL can express neither the trained scores nor the classes, so a test compares with brute force.

@@ -47,8 +47,8 @@ READ_IDS = 1 << 17
 WHITE = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
 #: Bytes of texts that are cut and numbered at a time, if a text isn't longer.
 CUT_BYTES = 6 << 20
-#: Signs that words often end with.
-SIGNS = frozenset(".,;:!?")
+#: A letter before a sign: no token holds both in that order, so texts can be cut between them.
+SIGNED = r"(\pL)([!-/:-@\[-`{-~])"
 MAGIC = b"RPIDS001"
 _HEAD = struct.Struct("<8sIIQQQB")
 
@@ -103,13 +103,9 @@ class Encoder:
         memory = self.memory
         if len(memory) > PIECES:
             memory.clear()
-        fresh = set(pieces).difference(memory)
-        # a single sign after a letter is a token of its own rule, so the word before it is asked for alone
-        signed = [x for x in fresh if len(x) > 1 and x[-1] in SIGNS and x[-2].isalpha()]
-        asked = list((fresh.difference(signed) | {x[:-1] for x in signed} | {x[-1] for x in signed}).difference(memory))
-        self._ask(asked)
-        memory.update([(x, memory[x[:-1]] + memory[x[-1]]) for x in signed])
-        return [x for some in (fresh, asked) for x in some if len(x) > REMEMBERED]
+        fresh = list(set(pieces).difference(memory))
+        self._ask(fresh)
+        return [x for x in fresh if len(x) > REMEMBERED]
 
     def _odd_text(self, text: str) -> np.ndarray:
         """A text that isn't cut at single blanks throughout."""
@@ -134,6 +130,7 @@ class Encoder:
         if not len(plain):
             return out
         cut = pc.replace_substring(pc.replace_substring(texts.take(pa.array(plain)), "\n", "\0\n\0"), " ", "\0 ")
+        cut = pc.replace_substring_regex(cut, SIGNED, "\\1\0\\2")
         parts = pc.split_pattern(cut, "\0")
         ends = np.cumsum(pc.list_value_length(parts).to_numpy())
         numbered = parts.flatten().dictionary_encode()

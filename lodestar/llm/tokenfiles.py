@@ -20,7 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.bpe import REMEMBERED, independent_pieces
+from lodestar.llm.bpe import independent_pieces
 from lodestar.llm.common import byte_groups, clean_docs, give_back, shared_path, shuffle_partitions, text_column
 from lodestar.llm.repeats import NULL_ID, ranges
 from lodestar.llm.warc import put_file
 
 END_ID = 2
-#: Pieces and words that a worker remembers (about 0.2 KB each); it starts anew when they are more.
-PIECES = 1_200_000
+#: Pieces that a worker remembers, and the bytes of them and their ids; it starts anew when they are more.
+PIECES, MEMORY_BYTES = 2_000_000, 128 << 20
 SHARD_IDS = 1 << 19
 #: The least count of a pair.
 LEAST = 8
@@ -68,55 +68,73 @@ class Encoder:
         #: what keeps a text from being cut before each blank and around each line break
         marks = "|".join(re.escape(s) for s in self.special)
         self.odd = f"[{WHITE}][{WHITE}]|\\A[{WHITE}]|[{WHITE}]\\z|[\\x00\\x1c-\\x1f]" + (f"|{marks}" if marks else "")
-        self.memory: dict[str, bytes] = {}
+        self.row = f"\\A [^{WHITE}]"
+        self.forget()
         #: a character of a token's name stands for a byte
         self.token_bytes = np.zeros(self.size, np.int64)
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the library gives them one by one."""
+    def forget(self) -> None:
+        """The pieces that are remembered, their ids in a row, and where each one's begin and how many they are."""
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.first, self.size_of = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row, as the library gives them one by one, and how many each has."""
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
-        ends = list(accumulate(4 * len(x) for x in ids))
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _ask(self, words: list[str]) -> None:
-        """Put the ids of words into the memory. Those that begin with their blank encode in a row as they do alone, so the
-        library gets them as one text, and the lengths of the tokens' bytes tell where each ends."""
-        row = [x for x in words if x[:1] == " " and not x[1:2].isspace() and len(x) > 1]
-        alone = list(set(words).difference(row))
-        self.memory.update(zip(alone, self._library(alone)))
-        if row:
-            ids = np.frombuffer(self._library(["".join(row)])[0], np.uint32)
-            stop = np.cumsum(pc.binary_length(pa.array(row, pa.large_string())).to_numpy())
-            reached = np.cumsum(self.token_bytes[ids])
-            cut = np.searchsorted(reached, stop) + 1
-            if not (reached[np.minimum(cut, len(ids)) - 1] == stop).all():  # tokens across words: then each alone
-                self.memory.update(zip(row, self._library(row)))
-                return
-            raw, ends = ids.tobytes(), (4 * cut).tolist()
-            self.memory.update(zip(row, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-
-    def _remember(self, pieces: list[str]) -> list[str]:
-        """Put pieces that encode on their own into the memory; gives those that mustn't stay there."""
-        memory = self.memory
-        if len(memory) > PIECES:
-            memory.clear()
-        fresh = list(set(pieces).difference(memory))
-        self._ask(fresh)
-        return [x for x in fresh if len(x) > REMEMBERED]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _in_a_row(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """_library() of words that begin with their blank: they encode in a row as they do alone, so the library gets them
+        as one text, and the lengths of the tokens' bytes tell where each ends."""
+        words = pa.concat_arrays([words])
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        ids, _ = self._library([words.buffers()[2].to_pybytes()[ends[0] : ends[-1]].decode()])
+        stop, reached = ends[1:] - ends[0], np.cumsum(self.token_bytes[ids])
+        cut = np.searchsorted(reached, stop) + 1
+        if not (reached[np.minimum(cut, len(ids)) - 1] == stop).all():  # tokens across words: then each alone
+            return self._library(words.to_pylist())
+        return ids, np.diff(cut, prepend=0)
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Where different pieces that encode on their own are remembered; new ones are asked for."""
+        if len(self.known) > PIECES or self.known.nbytes + self.flat.nbytes > MEMORY_BYTES:
+            self.forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        new = found.is_null()
+        out = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = pieces.filter(new)
+        if not len(fresh):
+            return out
+        out[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        row = pc.match_substring_regex(fresh, self.row)
+        first, size, done = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), len(self.flat)
+        parts = [self.flat]
+        for some, ask in ((row, self._in_a_row), (pc.invert(row), lambda x: self._library(x.to_pylist()))):
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            if len(at):
+                ids, sizes = ask(fresh.filter(some))
+                first[at], size[at] = done + np.cumsum(sizes) - sizes, sizes
+                parts.append(ids)
+                done += len(ids)
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.flat, self.first, self.size_of = np.concatenate(parts), np.concatenate([self.first, first]), np.concatenate([self.size_of, size])
+        return out
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has."""
+        numbered = pieces.dictionary_encode()
+        at = self.numbers(numbered.dictionary)[numbered.indices.to_numpy()]
+        size = self.size_of[at]
+        return self.flat[ranges(self.first[at], size)], size
 
     def _odd_text(self, text: str) -> np.ndarray:
         """A text that isn't cut at single blanks throughout."""
         pieces = None if any(s in text for s in self.special) else independent_pieces(text)
         if pieces is None:
-            return np.frombuffer(self._library([text])[0], np.uint32)
-        long = self._remember(pieces)
-        out = np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), np.uint32)
-        for x in long:
-            self.memory.pop(x, None)
-        return out
+            return self._library([text])[0]
+        return self._joined(pa.array(pieces, pa.large_string()))[0]
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column without nulls. Texts are cut and numbered in Arrow, and each different
@@ -133,16 +151,8 @@ class Encoder:
         cut = pc.replace_substring_regex(cut, SIGNED, "\\1\0\\2")
         parts = pc.split_pattern(cut, "\0")
         ends = np.cumsum(pc.list_value_length(parts).to_numpy())
-        numbered = parts.flatten().dictionary_encode()
-        different, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        long = self._remember(different)
-        found = list(map(self.memory.__getitem__, different))
-        for x in long:
-            self.memory.pop(x, None)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        ids = flat[ranges((np.cumsum(size) - size)[which], size[which])]
-        stops = np.concatenate([[0], np.cumsum(size[which])])[ends]
+        ids, size = self._joined(parts.flatten())
+        stops = np.concatenate([[0], np.cumsum(size)])[ends]
         for i, some in zip(plain.tolist(), np.split(ids, stops[:-1])):
             out[i] = some
         return out
@@ -158,19 +168,20 @@ NONE = np.int32(np.iinfo(np.int32).max)
 
 
 def _picked(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which of the pairs that begin at some positions are replaced: of pairs that overlap, the lower rank goes first."""
-    keep = np.zeros(len(at), bool)
-    touch = np.diff(at) == 1
-    rank = rank.copy()
-    for _ in range(3):
-        pick = rank != NONE
-        pick[1:] &= ~touch | (rank[1:] < rank[:-1])
-        pick[:-1] &= ~touch | (rank[:-1] < rank[1:])
-        keep |= pick
-        rank[pick] = NONE
-        rank[1:][pick[:-1] & touch] = NONE
-        rank[:-1][pick[1:] & touch] = NONE
-    return keep
+    """Of the positions at which pairs begin, those that are replaced: where pairs overlap, the lower rank goes first."""
+    done = []
+    while len(at):
+        touch = np.diff(at) == 1
+        less = rank[1:] < rank[:-1]
+        pick = np.ones(len(at), bool)
+        pick[1:] = ~touch | less
+        pick[:-1] &= ~(touch & less)
+        done.append(at[pick])
+        stay = ~pick
+        stay[1:] &= ~(pick[:-1] & touch)
+        stay[:-1] &= ~(pick[1:] & touch)
+        at, rank = at[stay], rank[stay]
+    return np.concatenate(done) if done else at
 
 
 def _every_second(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -194,15 +205,22 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
     n_rules, last = 0, 0  # symbols from last on are of the last round
     frequent = np.ones(len(symbols), bool)  # whether the pair that begins here was frequent when it was counted
     while len(symbols) > 1:
-        fresh = symbols >= last
-        look = frequent[:-1] | fresh[:-1] | fresh[1:]
-        at = _every_second(symbols, np.flatnonzero(look))
-        if base + n_rules <= 1 << 16:
-            keys = symbols[at].astype(np.uint32) << np.uint32(16) | symbols[at + 1].astype(np.uint32)
+        kind, bits = (np.uint32, 16) if base + n_rules <= 1 << 16 else (np.uint64, 32)
+        wide = symbols.astype(kind)
+        keys = wide[:-1] << kind(bits) | wide[1:]
+        if rules:
+            fresh = symbols >= last
+            at = _every_second(symbols, np.flatnonzero(frequent[:-1] | fresh[:-1] | fresh[1:]))
+        else:
+            at = _every_second(symbols, np.arange(len(symbols) - 1))
+        if len(at) < len(keys):
+            keys = keys[at]
+        if bits == 16:  # sorted together with their numbers, which is faster than an argsort
+            both = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+            order, in_order = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), both >> np.uint64(32)
         else:
-            keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1].astype(np.uint64)
-        order = np.argsort(keys)
-        in_order = keys[order]
+            order = np.argsort(keys)
+            in_order = keys[order]
         first = np.flatnonzero(np.concatenate([in_order[:1] == in_order[:1], in_order[1:] != in_order[:-1]]))
         counts = np.diff(first, append=len(keys))
         top = np.flatnonzero(counts >= least)
@@ -217,13 +235,15 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         if len(doubled):  # the pairs of a run that weren't counted are as frequent
             same = np.flatnonzero(symbols[:-1] == symbols[1:])
             frequent[same[np.isin(symbols[same], symbols[doubled])]] = True
-        place = place[_picked(place, rank[place])]
-        used = np.bincount(rank[place], minlength=len(top)) >= least
-        place = place[used[rank[place]]]
+        place = _picked(place, rank[place])
+        which = rank[place]
+        used = np.bincount(which, minlength=len(top)) >= least
+        some = used[which]
+        place, which = place[some], which[some]
         number = np.cumsum(used, dtype=np.int32) - 1
         example = at[order[first[top[used]]]]
         rules.append(np.stack([symbols[example], symbols[example + 1]], axis=1).astype(np.int64))
-        symbols[place] = base + n_rules + number[rank[place]]
+        symbols[place] = base + n_rules + number[which]
         last = base + n_rules
         n_rules += len(example)
         stay = np.ones(len(symbols), bool)

@@ -160,7 +160,6 @@ def test_no_frequent_pair_is_left(seed, kinds, n):
         lengths = tokenfiles.expansions(rules, base)
         assert tokenfiles.expand(symbols, rules, lengths, base).tolist() == ids_
         assert max(pairs(symbols.tolist()).values(), default=0) < tokenfiles.LEAST
-        assert len(set(map(tuple, rules.tolist()))) == len(rules)
         assert len(symbols) + (tokenfiles.LEAST - 1) * len(rules) <= len(ids_)  # each rule is used that often
 
 

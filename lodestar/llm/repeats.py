@@ -1,8 +1,8 @@
 """Exact repeats of windows in a corpus: super-k-mers travel to the bucket of their minimiser and are compared there.
 
 A window is ``width`` consecutive units (bytes or words) of a document. Its minimiser is the smallest hash of its k-mers,
-so equal windows have the same one. Consecutive windows with the same minimiser form a super-k-mer: one string (a run of
-one byte or a short period is one too, in pieces of ``most_windows``). Texts are kept in chunks of about 1 MB in a stored
+so equal windows have the same one. Consecutive windows with the same minimiser in one place form a super-k-mer: one string
+(a run of one byte or of a period of ``PERIOD`` is one too, in pieces of ``most_windows``). Texts are kept in chunks of about 1 MB in a stored
 table, and four passes over hashes and chunks find all repeats:
 
 1. each chunk sends its different minimisers and their counts to their buckets (9 bytes each);
@@ -44,8 +44,10 @@ BLOCK = 1 << 15
 #: Windows that are marked at a time.
 WINDOWS = 1 << 20
 #: Windows of a super-k-mer at most; and the super-k-mers of a minimiser (a chunk counts 255 at most) that make it hot.
-MOST_WINDOWS = 1 << 14
+MOST_WINDOWS = 1 << 10
 HOT = 4096
+#: Units by which the place of a minimiser may move without a new super-k-mer.
+PERIOD = 16
 #: Makes other hashes of k-mers.
 SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -198,11 +200,14 @@ class Segments:
     doc: np.ndarray
     width: int
 
-    def texts(self, data: bytes, which: np.ndarray) -> list[bytes]:
-        """The strings of some segments."""
+    def spans(self, which: np.ndarray) -> tuple[list[int], list[int]]:
+        """Where the strings of some segments begin and end."""
         first, last = self.first[which], self.first[which] + self.count[which] + self.width - 2
         begin, end = (first, last + 1) if self.starts is None else (self.starts[first], self.ends[last])
-        return [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        return begin.tolist(), end.tolist()
+
+    def texts(self, data: bytes, which: np.ndarray) -> list[bytes]:
+        return [data[a:b] for a, b in zip(*self.spans(which))]
 
 
 def _pieces(most: int, first: np.ndarray, count: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -230,14 +235,14 @@ def segments(chunk: Chunk, units: Units) -> Segments:
         key = low & keep
         place = (low & ~keep).astype(np.int64) + b
         whole = doc[b : b + m] == doc[b + units.width - 1 : b + units.width - 1 + m]
-        new = np.concatenate([[key[0] != before or not whole_before], (key[1:] != key[:-1]) | ~whole[:-1]])
-        moved = np.diff(place, prepend=at) != 0
+        moved = np.diff(place, prepend=at)
+        new = np.concatenate([[key[0] != before or not whole_before], (key[1:] != key[:-1]) | ~whole[:-1]]) | (moved > PERIOD)
         before, at, whole_before = key[-1], place[-1], bool(whole[-1])
         some = np.flatnonzero(new & whole)
         firsts.append(some + b)
         keys.append(key[some])
         edges.append(np.flatnonzero(new | ~whole) + b)
-        moves.append(np.flatnonzero(moved & ~new & whole) + b)
+        moves.append(np.flatnonzero((moved > 0) & ~new & whole) + b)
     if not firsts:
         none = np.zeros(0, np.int64)
         return Segments(none, none, none.astype(np.uint64), none.astype(bool), starts, ends, doc, units.width)
@@ -365,7 +370,7 @@ def _different(chunk: Chunk, s: Segments, wanted: np.ndarray, buckets: int) -> D
     order = np.lexsort((offset, chunk.ids[s.doc[s.first[chosen]]])) if len(chosen) else chosen
     chosen = chosen[order]
     number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(t, len(number)) for t in s.texts(data, chosen)], np.int64)
+    which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(*s.spans(chosen))], np.int64)
     _, head = np.unique(which, return_index=True)
     counts = np.bincount(which, minlength=len(number))
     sent, borders = _by_bucket(s.minimiser[chosen[head]] if len(head) else np.zeros(0, np.uint64), buckets)

@@ -44,6 +44,8 @@ BLOCK_SETS = 400
 #: Bytes of texts that are hashed at a time, if a text isn't longer.
 GROUP_BYTES = 1 << 17
 KEY_BITS = 40
+#: Parts into which the sets of each group are dealt where they meet facts about it.
+SALTS = 16
 
 
 def shingle_sets(chunk: Chunk, n: int = N) -> list[np.ndarray]:
@@ -164,6 +166,12 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _prefix(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set's prefix that occur elsewhere."""
+    first = np.argsort(classes, kind="stable")[: len(tokens) - needed(len(tokens), percent) + 1]
+    return tokens[first[classes[first] > 0]]
+
+
 class Classed:
     """The sets of a chunk with the frequency classes of their shingles."""
 
@@ -181,10 +189,7 @@ class Classed:
         return self.classes[np.searchsorted(self.known, self.sets[i] >> np.uint64(64 - KEY_BITS))]
 
     def prefix(self, i: int, percent: int) -> np.ndarray:
-        """The shingles of the prefix that occur elsewhere."""
-        tokens, cls = self.sets[i], self.of(i)
-        first = np.argsort(cls, kind="stable")[: len(tokens) - needed(len(tokens), percent) + 1]
-        return tokens[first[cls[first] > 0]]
+        return _prefix(self.sets[i], self.of(i), percent)
 
     def lead(self, i: int) -> int:
         """The most frequent shingle's hash, of those of one class the smallest."""
@@ -426,11 +431,12 @@ def _join_group(percent: int):
     return run
 
 
-SETS = "root long, pair long, set_key binary, label string, tokens binary, classes binary"
+SETS = "root long, pair long, set_key binary, label string, tokens binary, classes binary, own boolean"
 
 
 def _send_sets(buckets: int):
-    schema = pa.schema([("root", pa.int64()), ("pair", pa.int64()), ("set_key", pa.binary()), ("label", pa.string()), ("tokens", pa.binary()), ("classes", pa.binary())])
+    """The sets that are asked for, once for each group they go to; the first one is marked."""
+    schema = pa.schema([("root", pa.int64()), ("pair", pa.int64()), ("set_key", pa.binary()), ("label", pa.string()), ("tokens", pa.binary()), ("classes", pa.binary()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *row, answers, asked in rows_of(batches):
@@ -438,23 +444,22 @@ def _send_sets(buckets: int):
             out = []
             for a in asked:
                 sent = (own.sets[a["place"]].tobytes(), own.of(a["place"]).tobytes())
-                out += [(a["root"], pair, a["set_key"], a["label"], *sent) for pair in a["pairs"]]
+                out += [(a["root"], pair, a["set_key"], None, *sent, k == 0) for k, pair in enumerate(a["pairs"])]
             for k in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 500]), schema.types)], schema=schema)
 
     return run
 
 
-def _send_tokens(buckets: int, percent: int):
-    """The prefix shingles of sets with the blocks that these are in, each once a chunk."""
+def _prefix_tokens(percent: int):
+    """The prefix shingles of sets with the blocks that these are in, each once a batch."""
     schema = pa.schema([("root", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("pure", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *row, answers, asked in rows_of(batches):
-            own = Classed(open_chunk(*row), answers, buckets)
+        for batch in batches:
             tokens: dict[tuple, list[np.ndarray]] = {}
-            for a in asked:
-                tokens.setdefault((a["root"], a["block"], a["pure"]), []).append(own.prefix(a["place"], percent))
+            for root, block, pure, own, cls in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                tokens.setdefault((root, block, pure), []).append(_prefix(np.frombuffer(own, np.uint64), np.frombuffer(cls, np.uint8), percent))
             for (root, block, pure), some in tokens.items():
                 some = np.unique(np.concatenate(some)).astype(np.int64)
                 columns = [np.full(len(some), root), some, np.full(len(some), block), [pure] * len(some)]
@@ -463,53 +468,52 @@ def _send_tokens(buckets: int, percent: int):
     return run
 
 
-class _Chunks:
-    """The chunks with the classes of their shingles, and what each is asked for."""
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets that meet in a group (root, pair)."""
+    return sets.select("root", "pair", "set_key", "label", "tokens", "classes").groupBy("root", "pair").applyInArrow(_join_group(percent), "a string, b string")
+
 
-    def __init__(self, chunks: DataFrame, classes: DataFrame, buckets: int, percent: int) -> None:
-        self.chunks, self.classes, self.buckets, self.percent = chunks, classes, buckets, percent
-        self.columns = [*_CHUNKS.names[:5]]
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of groups, one for each salt, so that the sets of a hot group meet them in many tasks."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
-    def asked(self, what: DataFrame, *names: str) -> DataFrame:
-        asked = what.groupBy("gid").agg(F.collect_list(F.struct(*names)).alias("asked"))
-        return self.chunks.join(self.classes, "gid").join(asked, "gid").select(*self.columns, "classes", "asked")
 
-    def links(self, placed: DataFrame) -> DataFrame:
-        """Links of the sets that meet; placed: gid, place, root, set_key, label and the groups (pairs) a set goes to."""
-        sets = self.asked(placed, "place", "root", "set_key", "label", "pairs").mapInArrow(_send_sets(self.buckets), SETS)
-        return sets.groupBy("root", "pair").applyInArrow(_join_group(self.percent), "a string, b string")
+def _salted(heads: DataFrame) -> DataFrame:
+    return heads.withColumn("salt", F.pmod(F.xxhash64("set_key", F.lit(2)), F.lit(SALTS)))
 
 
 def _first_blocks(heads: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
     """Small groups whole; of large ones, the sets of one leading shingle in blocks that have four of them in common."""
     key = "set_key"
     lead = F.when(F.col("n") <= block_sets, F.lit(0).cast("long")).otherwise(F.col("lead"))
-    heads = heads.join(sizes, "root").withColumn("lead", lead)
+    heads = _salted(heads).join(_spread(sizes), ["root", "salt"]).withColumn("lead", lead)
     shared = F.array(F.min(key), F.max(key), F.min_by(key, F.xxhash64(key)), F.max_by(key, F.xxhash64(key)))
     leads = heads.groupBy("root", "lead").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("long").alias("blocks"), shared.alias("shared"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     own = F.array(F.pmod(F.xxhash64(key, F.lit(1)), "blocks"))
     numbers = F.when(F.array_contains("shared", F.col(key)), every).otherwise(own)
     pairs = F.transform(numbers, lambda i: F.xxhash64("lead", i))
-    return heads.join(leads, ["root", "lead"]).select("gid", "place", "root", key, F.lit(None).cast("string").alias("label"), pairs.alias("pairs"))
+    return heads.join(_spread(leads), ["root", "lead", "salt"]).select("gid", "place", "root", key, pairs.alias("pairs"))
 
 
-def _other_blocks(chunks: _Chunks, heads: DataFrame, classes: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame | None:
+def _other_blocks(sets: DataFrame, classes: DataFrame, sizes: DataFrame, block_sets: int, percent: int) -> DataFrame | None:
     """The sets of large groups that are in several classes, in pairs of blocks where a prefix shingle spans classes."""
-    heads = heads.join(sizes.where(F.col("n") > block_sets), "root").withColumn("set", F.lower(F.hex("set_key")))
-    heads = heads.join(classes, "set", "left").withColumn("label", F.coalesce("class", "set"))
+    large = _spread(sizes.where(F.col("n") > block_sets))
+    sets = _salted(sets.where("own").drop("pair", "label", "own")).join(large, ["root", "salt"]).withColumn("set", F.lower(F.hex("set_key")))
+    heads = sets.select("root", "salt", "set_key", "set").join(classes, "set", "left").withColumn("label", F.coalesce("class", "set"))
     per_class = heads.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n_class"))
     small = F.sum(F.when(F.col("n_class") < block_sets, F.col("n_class")).otherwise(0))
     per_root = per_class.groupBy("root").agg(F.count(F.lit(1)).alias("n_classes"), small.alias("n_small")).where("n_classes > 1")
-    placed = heads.join(per_class, ["root", "label"]).join(per_root, "root")
+    placed = heads.join(_spread(per_class.join(per_root, "root")), ["root", "label", "salt"])
     of_large = F.xxhash64("label", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n_class") / block_sets).cast("long")))
     of_small = F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n_small") / block_sets).cast("long")))
-    large = F.col("n_class") >= block_sets
-    placed = placed.withColumn("block", F.when(large, of_large).otherwise(of_small)).withColumn("pure", F.when(large, F.col("label")))
-    placed = stored(placed.select("gid", "place", "root", "set_key", "label", "block", "pure"), "jaccard-placed")
+    big = F.col("n_class") >= block_sets
+    placed = placed.withColumn("block", F.when(big, of_large).otherwise(of_small)).withColumn("pure", F.when(big, F.col("label")))
+    placed = placed.select("set_key", "label", "block", "pure").join(sets.select("root", "set_key", "tokens", "classes"), "set_key")
+    placed = stored(placed, "jaccard-placed")
     if placed.isEmpty():
         return None
-    tokens = chunks.asked(placed, "place", "root", "block", "pure").mapInArrow(_send_tokens(chunks.buckets, chunks.percent), "root long, token long, block long, pure string")
+    tokens = placed.select("root", "block", "pure", "tokens", "classes").mapInArrow(_prefix_tokens(percent), "root long, token long, block long, pure string")
     meeting = tokens.groupBy("root", "token").agg(F.sort_array(F.collect_set(F.struct("block", "pure"))).alias("blocks"))
     # shingles of the same sets have the same blocks
     meeting = meeting.select("root", "blocks").distinct()
@@ -517,8 +521,8 @@ def _other_blocks(chunks: _Chunks, heads: DataFrame, classes: DataFrame, sizes:
     met = F.flatten(F.transform("blocks", lambda x: F.transform(others(x), lambda y: F.struct(x["block"].alias("i"), y["block"].alias("j")))))
     met = meeting.select("root", F.explode(met).alias("p")).select("root", "p.i", "p.j").distinct()
     both = F.array_distinct(F.array("i", "j"))
-    goes = met.select("root", F.explode(both).alias("block"), F.xxhash64("i", "j").alias("pair")).groupBy("root", "block").agg(F.collect_list("pair").alias("pairs"))
-    return placed.join(goes, ["root", "block"]).select("gid", "place", "root", "set_key", "label", "pairs")
+    goes = met.select("root", F.explode(both).alias("block"), F.xxhash64("i", "j").alias("pair"))
+    return placed.join(goes, ["root", "block"]).select("root", "pair", "set_key", "label", "tokens", "classes")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -580,13 +584,14 @@ def _classes(chunks: DataFrame, percent: int, block_sets: int) -> DataFrame:
     heads = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("gid", "place", "lead")).alias("at")).select("set_key", "at.*")
     heads = stored(heads.withColumn("node", _node(F.col("set_key"))).join(groups, "node").select("set_key", "gid", "place", "lead", "root"), "jaccard-heads")
     sizes = heads.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    provider = _Chunks(chunks, frequencies, buckets, percent)
-    links = stored(provider.links(_first_blocks(heads, sizes, block_sets)), "jaccard-links")
-    classes = components(links, "jaccard-classes").withColumnsRenamed({"node": "set", "root": "class"})
+    asked = _first_blocks(heads, sizes, block_sets).groupBy("gid").agg(F.collect_list(F.struct("place", "root", "set_key", "pairs")).alias("asked"))
+    asked = chunks.join(frequencies, "gid").join(asked, "gid").select(*columns, "classes", "asked")
+    sets = stored(asked.mapInArrow(_send_sets(buckets), SETS), "jaccard-sets")
+    classes = components(_linked(sets, percent), "jaccard-classes").withColumnsRenamed({"node": "set", "root": "class"})
     if not sizes.where(F.col("n") > block_sets).isEmpty():
-        left = _other_blocks(provider, heads, classes, sizes, block_sets)
+        left = _other_blocks(sets, classes, sizes, block_sets, percent)
         if left is not None:
-            more = provider.links(left).unionByName(classes.select(F.col("set").alias("a"), F.col("class").alias("b")))
+            more = _linked(left, percent).unionByName(classes.select(F.col("set").alias("a"), F.col("class").alias("b")))
             classes = components(more, "jaccard-classes").withColumnsRenamed({"node": "set", "root": "class"})
     keyed = rows.select("gid", "place", "doc_id", "n_shingles", F.lower(F.hex("set_key")).alias("set"))
     keyed = keyed.join(classes, "set", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "set")))

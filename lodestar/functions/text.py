@@ -62,3 +62,13 @@ def fill(template: str, context: Column) -> Column:
 def shortened(text: Column, n: int = 80) -> Column:
     """At most n characters, then dots."""
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
+
+
+def without_end(value: Column, end: str) -> Column:
+    """value without any number of ``end`` (one character) at its end."""
+    return F.rtrim(value, F.lit(end))
+
+
+def first_of(value: Column, separator: str = ",") -> Column:
+    """What stands before the first separator, without white space around it."""
+    return trimmed(F.split_part(value, F.lit(separator), F.lit(1)))

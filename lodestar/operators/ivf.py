@@ -15,7 +15,8 @@ from lodestar.functions.arrays import matrix
 from lodestar.operators.quantization import SAMPLE, assign, lloyd, sample
 from lodestar.operators.search import exact_topk
 
-VERSION = "1"
+#: Parts of a list that vectors are dealt into where queries meet lists, so a list isn't one task.
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -62,22 +63,22 @@ def list_sizes(index: Index) -> DataFrame:
     return index.assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def save(index: Index, path: str) -> None:
-    """Write centroids, assignments partitioned by list, and a version row."""
+def save(index: Index, path: str, version: str = "") -> None:
+    """Write centroids, assignments partitioned by list, and the version of the data that was indexed."""
     spark = index.assigned.sparkSession
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     index.assigned.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/assigned")
-    spark.createDataFrame([(VERSION, index.key)], "version string, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_version_table")
+    spark.createDataFrame([(version, index.key)], "version string, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_version_table")
 
 
-def load(spark: SparkSession, path: str) -> Index | None:
-    """The index, or None if there is none of this version; callers then search exactly."""
+def load(spark: SparkSession, path: str, version: str = "") -> Index | None:
+    """The index, or None if there is none of this version of the data; callers then search exactly."""
     from pyspark.errors import AnalysisException
 
     try:
         head = spark.read.parquet(f"{path}/_version_table").first()
-        if head is None or head["version"] != VERSION:
+        if head is None or head["version"] != version:
             return None
         rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
         assigned = spark.read.parquet(f"{path}/assigned")
@@ -87,13 +88,15 @@ def load(spark: SparkSession, path: str) -> Index | None:
 
 
 def batch_search(index: Index, queries: DataFrame, k: int, n_probe: int, query_key: str = "query_id") -> DataFrame:
-    """query_key, rank, key, dot: queries go to their nearest lists and meet vectors by an equi-join on the list."""
+    """query_key, rank, key, dot: queries go to their nearest lists and meet vectors by an equi-join on parts of lists."""
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
     lists = F.broadcast(queries.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>"))
     near = queries.select(query_key, F.col("embedding").alias("q")).join(lists, F.lit(True))
     near = near.withColumn("d", vectors.squared_distance(F.col("q"), F.col("centroid")))
     place = F.row_number().over(Window.partitionBy(query_key).orderBy("d", "list_id"))
     probes = near.withColumn("p", place).where(F.col("p") <= n_probe).select(query_key, "q", "list_id")
-    scored = probes.join(index.assigned, "list_id").select(query_key, index.key, vectors.dot(F.col("q"), F.col("embedding")).alias("dot"))
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+    dealt = index.assigned.withColumn("part", F.pmod(F.xxhash64(index.key), F.lit(PARTS)))
+    scored = probes.withColumn("part", F.explode(parts)).join(dealt, ["list_id", "part"]).select(query_key, index.key, vectors.dot(F.col("q"), F.col("embedding")).alias("dot"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("dot"), index.key))
     return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(query_key, "rank", index.key, "dot")

@@ -84,9 +84,3 @@ def index_gauges(stats: DataFrame) -> DataFrame:
     columns = {"hnsw_num_vectors": "num_documents", "hnsw_max_connections": "max_connections", "hnsw_ef_construction": "ef_construction", "hnsw_ef_search": "ef_search"}
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in columns.items()])
     return stats.select("collection", F.explode(pairs).alias("g")).select("g.name", "collection", "g.value")
-
-
-def latest_window(observations: DataFrame, at: str, *labels: str) -> DataFrame:
-    """The last observation's row of each label set."""
-    order = F.row_number().over(Window.partitionBy(*labels).orderBy(F.desc(at)))
-    return observations.withColumn("__n", order).where("__n = 1").drop("__n")

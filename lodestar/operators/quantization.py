@@ -1,11 +1,12 @@
 """Product quantization: deterministic Lloyd k-means, encoding and decoding, error, search over codes.
 
-Training works on a sample of bounded size (``most`` vectors with the smallest keys), so its arrays stay small; encoding
-and decoding run over every row. A codebook is a table (sub, code, centroid) of at most m x 256 rows.
+Training works on a sample of bounded size (``most`` vectors with the smallest hashes of their keys), so its arrays stay
+small; encoding and decoding run over every row. A codebook is a table (sub, code, centroid) of at most m x 256 rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -90,9 +91,31 @@ def train(samples: np.ndarray, m: int = 8, k: int = 256, iterations: int = ITERA
     return Codebook(np.array([lloyd(part, k, iterations) for part in np.split(samples, m, axis=1)]))
 
 
+# The generator of the samples that the default codebook is trained on.
+DEFAULT_SEED, MULTIPLIER, INCREMENT = 0x1234567890ABCDEF, 6364136223846793005, 1442695040888963407
+DEFAULT_DIM, DEFAULT_M, DEFAULT_K = 384, 8, 256
+
+
+def generated(n: int = SAMPLE, dim: int = DEFAULT_DIM, seed: int = DEFAULT_SEED) -> np.ndarray:
+    """n unit vectors from a linear congruential generator, whose upper 32 bits are components from -1 to 1."""
+    state, wrap = seed, (1 << 64) - 1
+    tops = np.empty(n * dim)
+    for i in range(n * dim):
+        state = (state * MULTIPLIER + INCREMENT) & wrap
+        tops[i] = state >> 32
+    v = (tops / ((1 << 32) - 1) * 2 - 1).reshape(n, dim)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+
+
+@functools.cache
+def default_codebook() -> Codebook:
+    """The codebook for 384 components before anything is trained: 8 subspaces of 256 centroids, from generated vectors."""
+    return train(generated(), DEFAULT_M, DEFAULT_K)
+
+
 def sample(docs: DataFrame, key: str, most: int = SAMPLE) -> np.ndarray:
-    """The vectors with the smallest keys, most at most."""
-    rows = docs.where("embedding IS NOT NULL").select(key, "embedding").orderBy(key).limit(most).collect()
+    """The vectors with the smallest hashes of their keys, most at most: a sample of all rows, and the same one always."""
+    rows = docs.where("embedding IS NOT NULL").select(key, "embedding").orderBy(F.md5(F.col(key).cast("string")), key).limit(most).collect()
     return np.array([r["embedding"] for r in rows], np.float64)
 
 
@@ -104,8 +127,10 @@ def lloyd_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """points with code: the nearest centroid, the lowest code among equals. At most 256 centroids are broadcast."""
-    table = centroids.orderBy("code").limit(256).collect()
+    """points with code: the nearest centroid, the lowest code among equals. There are 256 centroids at most."""
+    table = centroids.orderBy("code").limit(257).collect()
+    if len(table) > 256:
+        raise ValueError("there are more than 256 centroids")
     options = F.array(*[F.struct(vectors.squared_distance(F.col("v"), vectors.literal(r["centroid"])).alias("d"), F.lit(r["code"]).alias("code")) for r in table])
     return points.withColumn("code", F.array_min(options)["code"])
 

@@ -142,8 +142,11 @@ def metadata_filter(docs: DataFrame, wanted: Any) -> DataFrame:
 
 
 def with_documents(results: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
-    """The results' texts and metadata; results are at most k rows, so their side is the small one."""
-    return results.join(docs.select(key, "text", "metadata"), key)
+    """The results' texts and metadata. Results are few (a limit's rows), so their ids go to the scan of the documents,
+    which reads texts of those row groups only."""
+    rows = results.collect()
+    found = docs.where(F.col(key).isin([r[key] for r in rows])).select(key, "text", "metadata")
+    return found.join(F.broadcast(docs.sparkSession.createDataFrame(rows, results.schema)), key)
 
 
 def ranked(results: DataFrame, key: str = "id", limit: int | None = None) -> DataFrame:

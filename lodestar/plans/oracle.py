@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.operators import metrics, rag
+from lodestar.operators import evaluate, metrics, quantization, rag
 from lodestar.plans import queries as Q
+from lodestar.streaming import ratelimit
 
 COLLECTION = """
 docs AS (SELECT d.doc_id AS id, d.text, e.embedding, d.lang AS collection,
@@ -35,26 +36,55 @@ DISTANCE = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2])
 SHARD = f"""CAST(list_reduce(list_prepend(0::UHUGEINT, list_transform(string_split(collection, ''), lambda c: ascii(c)::UHUGEINT)),
     lambda h, b: (h * 31 + b) % 18446744073709551616::UHUGEINT) % {Q.SHARDS} AS INTEGER)"""
 INIT = f"""
-s AS (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1024)),
+s AS MATERIALIZED (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS i
+    FROM (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 1024)),
 n AS (SELECT count(*) AS n FROM s),
 init AS (SELECT CAST(c AS INTEGER) AS code, v AS centroid FROM range({Q.PQ_K}) t(c), n JOIN s ON s.i = (c * 7) % n.n WHERE c < n.n)"""
 NEAR = f"""
 near AS (SELECT vec_id, v, code FROM (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, code,
     row_number() OVER (PARTITION BY e.vec_id ORDER BY {DISTANCE.format(a="e.embedding::DOUBLE[]", b="centroid")}, code) AS k FROM embeddings e, init) WHERE k = 1)"""
-#: One Lloyd step in each subspace, then the codes of all vectors.
+
+
+def lloyd_step(i: int) -> str:
+    """CTEs of a Lloyd step in each subspace: book{i} from book{i - 1}. A centroid moves if its mean is farther than the least shift."""
+    distance = DISTANCE.format(a="p", b="centroid")
+    return f"""own{i} AS MATERIALIZED (SELECT i, sub, p, code FROM (SELECT i, parts.sub, p, code, row_number() OVER (PARTITION BY i, parts.sub ORDER BY {distance}, code) AS k
+    FROM parts JOIN book{i - 1} USING (sub)) WHERE k = 1),
+means{i} AS (SELECT sub, code, list(mean ORDER BY pos) AS mean FROM (SELECT sub, code, pos, avg(p[pos]) AS mean FROM own{i}, range(1, 65) r(pos) WHERE pos <= len(p) GROUP BY ALL) GROUP BY ALL),
+book{i} AS MATERIALIZED (SELECT sub, code, CASE WHEN mean IS NOT NULL AND sqrt({DISTANCE.format(a="mean", b="centroid")}) > {quantization.SHIFT} THEN mean ELSE centroid END AS centroid
+    FROM book{i - 1} LEFT JOIN means{i} USING (sub, code)),
+"""
+
+
+#: All Lloyd steps in each subspace, then the codes of all vectors.
 PQ = f"""
-s AS (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1024)),
+s AS MATERIALIZED (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS i
+    FROM (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 1024)),
 n AS (SELECT count(*) AS n FROM s),
 subs AS (SELECT CAST(m AS INTEGER) AS sub FROM range({Q.PQ_M}) t(m)),
-parts AS (SELECT i, sub, v[sub * len(v) // {Q.PQ_M} + 1 : (sub + 1) * len(v) // {Q.PQ_M}] AS p FROM s, subs),
-init AS (SELECT sub, CAST(c AS INTEGER) AS code, p AS centroid FROM range({Q.PQ_K}) t(c), n JOIN parts ON parts.i = (c * 7) % n.n WHERE c < n.n),
-own AS (SELECT i, sub, p, code FROM (SELECT i, parts.sub, p, code, row_number() OVER (PARTITION BY i, parts.sub ORDER BY {DISTANCE.format(a="p", b="centroid")}, code) AS k
-    FROM parts JOIN init USING (sub)) WHERE k = 1),
-means AS (SELECT sub, code, list(mean ORDER BY pos) AS mean FROM (SELECT sub, code, pos, avg(p[pos]) AS mean FROM own, range(1, 65) r(pos) WHERE pos <= len(p) GROUP BY ALL) GROUP BY ALL),
-book AS (SELECT sub, code, coalesce(mean, centroid) AS centroid FROM init LEFT JOIN means USING (sub, code)),
+parts AS MATERIALIZED (SELECT i, sub, v[sub * len(v) // {Q.PQ_M} + 1 : (sub + 1) * len(v) // {Q.PQ_M}] AS p FROM s, subs),
+book0 AS MATERIALIZED (SELECT sub, CAST(c AS INTEGER) AS code, p AS centroid FROM range({Q.PQ_K}) t(c), n JOIN parts ON parts.i = (c * 7) % n.n WHERE c < n.n),
+{"".join(lloyd_step(i) for i in range(1, quantization.ITERATIONS + 1))}book AS (SELECT * FROM book{quantization.ITERATIONS}),
 every AS (SELECT vec_id, sub, (embedding::DOUBLE[])[sub * len(embedding) // {Q.PQ_M} + 1 : (sub + 1) * len(embedding) // {Q.PQ_M}] AS p FROM embeddings, subs),
-coded AS (SELECT vec_id, sub, p, code, centroid FROM (SELECT vec_id, every.sub, p, code, centroid,
+coded AS MATERIALIZED (SELECT vec_id, sub, p, code, centroid FROM (SELECT vec_id, every.sub, p, code, centroid,
     row_number() OVER (PARTITION BY vec_id, every.sub ORDER BY {DISTANCE.format(a="p", b="centroid")}, code) AS k FROM every JOIN book USING (sub)) WHERE k = 1)"""
+#: The generator of synthetic vectors, one component after the other.
+SYNTHETIC = f"""WITH RECURSIVE g AS (SELECT 0 AS i, {evaluate.SEED}::UHUGEINT AS state
+    UNION ALL SELECT i + 1, (state * {evaluate.MULTIPLIER}::UHUGEINT + {evaluate.INCREMENT}::UHUGEINT) % 18446744073709551616::UHUGEINT FROM g WHERE i < 6400),
+x AS (SELECT (i - 1) // 32 AS idx, (i - 1) % 32 AS pos, (state // 8589934592::UHUGEINT)::FLOAT / 2147483647::FLOAT * 2::FLOAT - 1::FLOAT AS x FROM g WHERE i > 0),
+v AS (SELECT idx, list(x ORDER BY pos) AS v FROM x GROUP BY idx),
+u AS (SELECT idx, v, sqrt(list_sum(list_transform(v, lambda e: e::DOUBLE * e::DOUBLE))) AS size FROM v),
+e AS (SELECT idx, list_transform(v, lambda y: (y::DOUBLE / size)::FLOAT) AS e FROM u)
+SELECT CAST(idx AS BIGINT) AS idx, 'synthetic-doc-' || CAST(idx AS BIGINT) AS text, '{{"idx":' || CAST(idx AS BIGINT) || ',"type":"synthetic"}}' AS metadata,
+    round(e[32]::DOUBLE, 6) AS last, round(list_sum(list_transform(e, lambda y: y::DOUBLE)), 6) AS total FROM e"""
+#: The limiter, one event of each user after the other.
+LIMITER = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n
+    FROM (SELECT event_id, user_id, epoch_us(ts) // 60000000 AS s FROM events)),
+r AS (SELECT user_id, n, event_id, s AS opened, 1 AS c, true AS allowed FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.s - opened > {ratelimit.WINDOW} THEN e.s ELSE opened END,
+        CASE WHEN e.s - opened > {ratelimit.WINDOW} THEN 1 WHEN c < 3 THEN c + 1 ELSE c END, e.s - opened > {ratelimit.WINDOW} OR c < 3
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, user_id, allowed FROM r"""
 
 
 def histogram(frm: str, value: str, bounds: tuple, labels: str, digits: int) -> str:
@@ -151,6 +181,14 @@ def build() -> dict[str, str]:
         "pq_encode": f"WITH {PQ} SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes FROM coded GROUP BY vec_id",
         "pq_decode": f"WITH {PQ}, b AS (SELECT vec_id, flatten(list(centroid ORDER BY sub)) AS v FROM coded GROUP BY vec_id) SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(v[pos + 1], 6) AS value FROM b, range(64) r(pos) WHERE pos < len(v)",
         "pq_error": f"WITH {PQ} SELECT vec_id, round(sqrt(sum({DISTANCE.format(a='p', b='centroid')}) / sum(len(p))), 6) AS error FROM coded GROUP BY vec_id",
+        "pq_codebook": f"WITH {PQ} SELECT sub, code, CAST(pos AS BIGINT) AS pos, round(centroid[pos + 1], 6) AS value FROM book, range(64) r(pos) WHERE pos < len(centroid)",
+        "pq_search": f"""WITH {PQ}, b AS (SELECT vec_id, flatten(list(centroid ORDER BY sub)) AS v FROM coded GROUP BY vec_id),
+            d AS (SELECT vec_id, list_dot_product(v, {QUERY}::DOUBLE[]) AS d FROM b ORDER BY d DESC, vec_id LIMIT {Q.LIMIT})
+            SELECT CAST(row_number() OVER (ORDER BY d DESC, vec_id) AS INTEGER) AS rank, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, d)), 6) AS score FROM d""",
+        "ivf_recall": "SELECT true AS reached, count(*) AS n_queries FROM embeddings WHERE vec_id % 100 = 0",
+        "synthetic_vectors": SYNTHETIC,
+        "rate_limit_fixed_window": LIMITER,
+        "url_parts": "SELECT page_id, rtrim(url || '//', '/') AS base, trim(url) AS first FROM pages",
         "scalar_search": f"""WITH b AS (SELECT vec_id, list_dot_product({BACK}, {QUERY}::DOUBLE[]) AS d FROM embeddings ORDER BY d DESC, vec_id LIMIT {Q.LIMIT})
             SELECT CAST(row_number() OVER (ORDER BY d DESC, vec_id) AS INTEGER) AS rank, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, d)), 6) AS score FROM b""",
         "ivf_search": TOPK,

@@ -28,7 +28,7 @@ MESSAGE = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.Str
 
 # Limits and defaults that callers of such an engine rely on.
 LIMIT_RANGE = (1, 1000)
-OVER_FETCH_FILTER, OVER_FETCH_HYBRID, OVER_FETCH_BATCH = 5, 3, 2
+OVER_FETCH_FILTER, OVER_FETCH_HYBRID = 5, 3
 HYBRID_VECTOR, HYBRID_KEYWORDS = 0.7, 0.3
 DEFAULT_COLLECTION = "default"
 
@@ -47,9 +47,10 @@ class IndexConfig:
         return f"HNSW (M={self.max_connections}, ef_c={self.ef_construction}, ef_search={self.ef_search})"
 
     def n_probe(self, ef: int | None = None) -> int:
-        """How many lists a search visits: the share of lists grows with ef, and all of them from ef = 4 * ef_search."""
+        """How many lists a search visits: three quarters by default, for a recall over 0.9 on vectors without clusters
+        too; the share grows with ef."""
         ef = self.ef_search if ef is None else ef
-        return max(1, min(self.n_lists, -(-self.n_lists * ef // (4 * self.ef_search))))
+        return max(1, min(self.n_lists, -(-3 * self.n_lists * ef // (4 * self.ef_search))))
 
 
 @dataclass(frozen=True)

@@ -1,18 +1,25 @@
-"""Collections at rest: Parquet partitioned by collection, with full vectors and their codes.
+"""Collections at rest: Parquet partitioned by collection and epoch, with full vectors and their codes.
+
+Batches are written to the epoch ``batch``, each micro-batch of a stream to one of its own, so both go to one store.
 
 A write validates first and commits once, so a batch is in whole or not at all. What is rejected comes back with a reason.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import schema as S
 from lodestar.functions import jsons, text, vectors
+from lodestar.operators.quantization import Codebook, decode, encode
 
-COLUMNS = "id string, text string, embedding array<float>, metadata string, codes array<smallint>, codec string, ingest_seq long, collection string"
+COLUMNS = "id string, text string, embedding array<float>, metadata string, codes array<smallint>, codec string, ingest_seq long, collection string, epoch string"
+#: The folders of a store, and the epoch of rows that no stream wrote.
+FOLDERS, BATCH = ("collection", "epoch"), "batch"
 
 
 def reject_reason(dim: int) -> Column:
@@ -45,7 +52,18 @@ def prepared(rows: DataFrame, dim: int) -> DataFrame:
 
 def ingest(rows: DataFrame, path: str, dim: int) -> None:
     """Append the valid rows in one commit. repartition keeps a collection's files few; AQE splits large ones."""
-    prepared(rows, dim).hint("rebalance", "collection").write.mode("append").partitionBy("collection").parquet(path)
+    prepared(rows, dim).hint("rebalance", "collection").withColumn("epoch", F.lit(BATCH)).write.mode("append").partitionBy(*FOLDERS).parquet(path)
+
+
+def ingest_epoch(rows: DataFrame, path: str, dim: int, epoch: str) -> None:
+    """Write the valid rows as an epoch; what that epoch had in these collections before is replaced."""
+    good = prepared(rows, dim).withColumn("epoch", F.lit(epoch))
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
+
+
+def version(docs: DataFrame) -> str:
+    """A digest of the files that docs reads: another one after every write."""
+    return hashlib.sha256("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()
 
 
 def ingest_strict(rows: DataFrame, path: str, dim: int) -> None:
@@ -65,12 +83,15 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], COLUMNS)
 
 
-def decoded(docs: DataFrame, source: str = "exact") -> DataFrame:
-    """docs with embedding from the full vectors ('exact') or from the scalar codes ('scalar')."""
+def decoded(docs: DataFrame, source: str = "exact", book: Codebook | None = None) -> DataFrame:
+    """docs with embedding from the full vectors ('exact'), the scalar codes ('scalar') or the codes of a book ('pq')."""
     if source == "exact":
         return docs
+    if source == "pq" and book is not None:
+        back = decode(encode(docs, book).withColumnRenamed("id", "__id"), book, "__id").withColumnRenamed("embedding", "__v")
+        return docs.join(back, F.col("id") == F.col("__id")).withColumn("embedding", F.col("__v").cast("array<float>")).drop("__id", "__v")
     if source != "scalar":
-        raise ValueError("source is 'exact' or 'scalar'")
+        raise ValueError("source is 'exact', 'scalar' or, with a book, 'pq'")
     return docs.withColumn("embedding", vectors.dequantize(F.col("codes")).cast("array<float>"))
 
 

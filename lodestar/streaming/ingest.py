@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,14 +13,16 @@ from lodestar.sources import store
 
 
 def stream_ingest(rows: DataFrame, path: str, checkpoint: str, dim: int, after: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append each micro-batch to the store. A batch that runs again overwrites its own files, so rows come once.
+    """Append each micro-batch to the store, as an epoch named after the checkpoint and the batch. A batch that runs again
+    overwrites its own files, so rows come once.
 
     after: called with each batch's rows, as for refreshing an index.
     """
 
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def each(batch: DataFrame, epoch: int) -> None:
-        good = store.prepared(batch, dim)
-        good.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "collection").parquet(path)
+        store.ingest_epoch(batch, path, dim, f"{name}-{epoch}")
         if after is not None:
             after(batch, epoch)
 

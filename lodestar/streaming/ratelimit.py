@@ -1,6 +1,7 @@
 """Fixed-window rate limits by key: a window opens with a key's first event and closes when one comes more than its
-length later; rejected events change nothing. The batch form folds a key's events in order inside the JVM; the streaming
-form keeps (window start, count) by key."""
+length later; rejected events change nothing. Which window an event is in depends on those accepted before it, so both
+forms walk a key's events in order in Python: the batch form over sorted partitions, with the state of one key at a time;
+the streaming form with (window start, count) by key."""
 
 from __future__ import annotations
 

@@ -201,10 +201,63 @@ def test_engine(spark, tmp_path):
         e.search("  ")
     with pytest.raises(S.DimMismatch):
         e.search([1.0], 1)
+    before = e.search_approximate("a text that comes later", 1).first()["score"]
+    e.ingest(spark.createDataFrame([("a text that comes later",)], "text string"))
+    assert before < 0.9 < e.search_approximate("a text that comes later", 1).first()["score"]  # the index is of older data
     e.delete("default")
     assert e.docs().count() == 0
 
 
+def test_the_oldest_rows_go(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), S.EngineConfig(dim=4, max_docs=10))
+    made = lambda a, b, c: spark.createDataFrame([(f"{i:03d}", f"text {i}", i, c) for i in range(a, b)], "id string, text string, ingest_seq long, collection string")
+    e.ingest(made(0, 8, "a"))
+    e.ingest(made(0, 3, "b"))
+    assert e.docs("a").count() == 8
+    e.ingest(made(8, 15, "a"))
+    assert sorted(r["id"] for r in e.docs("a").collect()) == [f"{i:03d}" for i in range(5, 15)] and e.docs("b").count() == 3
+    e.ingest(made(15, 17, "a"))
+    assert sorted(r["id"] for r in e.docs("a").collect()) == [f"{i:03d}" for i in range(7, 17)]
+
+
+def test_codebooks_of_the_engine(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), S.EngineConfig(dim=16))
+    assert not e.codebook().trained
+    e.ingest(spark.createDataFrame([(f"text number {i}",) for i in range(60)], "text string"))
+    book = e.train_pq(m=4, k=16)
+    assert np.allclose(e.codebook().centroids, book.centroids) and book.centroids.shape == (4, 16, 4)
+    back = store.decoded(e.docs(), "pq", e.codebook()).join(e.docs().select("id", F.col("embedding").alias("v")), "id").collect()
+    assert len(back) == 60 and np.mean([np.square(np.subtract(r["embedding"], r["v"])).mean() for r in back]) < 0.05
+    with pytest.raises(ValueError):
+        store.decoded(e.docs(), "pq")
+
+
+def test_default_codebook():
+    v = quantization.generated(2, 3)
+    state, want = quantization.DEFAULT_SEED, []
+    for _ in range(6):
+        state = (state * quantization.MULTIPLIER + quantization.INCREMENT) % 2**64
+        want.append((state >> 32) / (2**32 - 1) * 2 - 1)
+    want = np.array(want).reshape(2, 3)
+    assert np.allclose(v, want / np.linalg.norm(want, axis=1, keepdims=True))
+    book = quantization.default_codebook()
+    assert book.centroids.shape == (8, 256, 48) and book.dim == 384
+
+
+def test_more_than_256_centroids_are_an_error(spark):
+    points = spark.createDataFrame([(1, [299.0])], "id long, v array<double>")
+    made = lambda n: spark.createDataFrame([(i, [float(i)]) for i in range(n)], "code int, centroid array<double>")
+    assert quantization.nearest(points, made(256)).first()["code"] == 255
+    with pytest.raises(ValueError):
+        quantization.nearest(points, made(300))
+
+
+def test_training_samples_cover_all_rows(docs, unit):
+    some = quantization.sample(docs, "id", 50)
+    at = [int(np.argmax(unit @ v)) for v in some]
+    assert len(set(at)) == 50 and max(at) > 150 and min(at) < 50
+
+
 def test_model_embedder_with_a_stub(spark):
     class Session:
         def run(self, _, feed):
@@ -228,6 +281,23 @@ def test_stream_ingest(spark, tmp_path):
     assert store.open_store(spark, str(tmp_path / "out")).count() == 20
 
 
+def test_one_store_for_batches_and_streams(spark, tmp_path):
+    """A batch, a stream, the stream again from another checkpoint, and a batch: all rows are there."""
+    src, out, kinds = str(tmp_path / "in"), str(tmp_path / "out"), "id string, text string, embedding array<float>, ingest_seq long"
+    rows = spark.createDataFrame([(str(i), f"t{i}", [1.0], i) for i in range(20)], kinds)
+    rows.write.parquet(src)
+    store.ingest(rows, out, 1)
+    for k in range(2):
+        ingest.stream_ingest(spark.readStream.schema(kinds).parquet(src), out, str(tmp_path / f"ck{k}"), 1).awaitTermination()
+    store.ingest_strict(rows, out, 1)
+    got = store.open_store(spark, out)
+    assert got.count() == 80 and got.select("id").distinct().count() == 20
+    assert got.select("epoch").distinct().count() == 3
+    store.ingest_epoch(rows.limit(5), out, 1, "again")
+    store.ingest_epoch(rows.limit(5), out, 1, "again")
+    assert store.open_store(spark, out).count() == 85
+
+
 def test_rate_limit_batch_and_stream(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, int(rng.integers(0, 5)), int(s)) for i, s in enumerate(np.sort(rng.integers(0, 2000, 400)))]

@@ -485,15 +485,14 @@ def _salted(heads: DataFrame) -> DataFrame:
 def _first_blocks(heads: DataFrame, sizes: DataFrame, block_sets: int) -> DataFrame:
     """Small groups whole; of large ones, the sets of one leading shingle in blocks that have four of them in common."""
     key = "set_key"
-    lead = F.when(F.col("n") <= block_sets, F.lit(0).cast("long")).otherwise(F.col("lead"))
-    heads = _salted(heads).join(_spread(sizes), ["root", "salt"]).withColumn("lead", lead)
+    heads = _salted(heads).join(_spread(sizes.where(F.col("n") > block_sets)), ["root", "salt"], "left")
     shared = F.array(F.min(key), F.max(key), F.min_by(key, F.xxhash64(key)), F.max_by(key, F.xxhash64(key)))
-    leads = heads.groupBy("root", "lead").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("long").alias("blocks"), shared.alias("shared"))
+    leads = heads.where("n IS NOT NULL").groupBy("root", "lead").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("long").alias("blocks"), shared.alias("shared"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     own = F.array(F.pmod(F.xxhash64(key, F.lit(1)), "blocks"))
     numbers = F.when(F.array_contains("shared", F.col(key)), every).otherwise(own)
-    pairs = F.transform(numbers, lambda i: F.xxhash64("lead", i))
-    return heads.join(_spread(leads), ["root", "lead", "salt"]).select("gid", "place", "root", key, pairs.alias("pairs"))
+    pairs = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(numbers, lambda i: F.xxhash64("lead", i)))
+    return heads.join(_spread(leads), ["root", "lead", "salt"], "left").select("gid", "place", "root", key, pairs.alias("pairs"))
 
 
 def _other_blocks(sets: DataFrame, classes: DataFrame, sizes: DataFrame, block_sets: int, percent: int) -> DataFrame | None:

@@ -240,7 +240,7 @@ def segments(chunk: Chunk, units: Units) -> Segments:
         before, at, whole_before = key[-1], place[-1], bool(whole[-1])
         some = np.flatnonzero(new & whole)
         firsts.append(some + b)
-        keys.append(key[some])
+        keys.append(mix(key[some]))  # its low bits are zeros, and buckets go by them
         edges.append(np.flatnonzero(new | ~whole) + b)
         moves.append(np.flatnonzero((moved > 0) & ~new & whole) + b)
     if not firsts:

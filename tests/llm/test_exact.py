@@ -154,3 +154,14 @@ def test_kept_text_and_carried_columns(spark, edge_docs):
     assert {(r["doc_id"], r["lang"], r["source"]) for r in got} == want
     assert {r["text"] for r in got if r["doc_id"] == 5} == {"one two three"}
     assert next(r["text"] for r in got if r["doc_id"] == 10) != "é" * 300
+
+
+def test_minimisers_fall_into_all_buckets():
+    rnd = np.random.default_rng(4)
+    data = rnd.integers(97, 123, 1 << 16).astype(np.uint8)
+    s = repeats.segments(repeats.Chunk(0, np.array([1]), np.array([len(data)]), data), repeats.Units(False, 200, 32))
+    for buckets in (8, 64, 206):
+        _, _, borders = repeats._sent_minimisers(s, buckets)
+        sizes = np.diff(borders)
+        assert sizes.min() > 0 or buckets > 64
+        assert sizes.max() < 4 * len(s.first) / buckets + 20

@@ -68,8 +68,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Words as the contracts define them.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": """
+            WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            parts AS MATERIALIZED (SELECT doc_id, k, substr(h, CAST(2000 * k + 1 AS BIGINT), 2398) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2000 + 1)) AS k FROM h)),
+            w AS MATERIALIZED (SELECT doc_id, 1000 * k + i AS p, md5_number(substr(g, CAST(2 * i + 1 AS BIGINT), 400)) AS x FROM (SELECT doc_id, k, g, unnest(range(len(g) // 2 - 199)) AS i FROM parts)),
+            again AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+            c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE x IN (SELECT x FROM again)),
+            runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+            spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY doc_id, run),
+            cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+            kept AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+                     string_agg(substr(h, CAST(2 * kept_from + 1 AS BIGINT), CAST(2 * (a - kept_from) AS BIGINT)), '' ORDER BY a) AS k FROM cuts JOIN h USING (doc_id) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   sha256(unhex(CASE WHEN k IS NULL THEN h ELSE k || substr(h, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256
+            FROM h LEFT JOIN kept USING (doc_id)""",
+        "op3_ngram_jaccard_join": f"""
+            WITH RECURSIVE t AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+            s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM t),
+            u AS MATERIALIZED (SELECT doc_id, md5_number(unnest(s)) AS x FROM s),
+            both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+            e AS MATERIALIZED (SELECT a, b FROM both_ JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)),
+            e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+            c AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT c.doc_id, e2.b FROM c JOIN e2 ON c.other = e2.a)
+            SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM c GROUP BY doc_id) USING (doc_id)""",
+        "op6_substring_dedup": f"""
+            WITH t AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+            v AS MATERIALIZED (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 19], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t)),
+            later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM v) WHERE k > 1),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+            words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM t),
+            kept AS (SELECT doc_id, count(g.j) AS n_removed, string_agg(x, ' ' ORDER BY j) FILTER (WHERE g.j IS NULL) AS k FROM words LEFT JOIN gone g USING (doc_id, j) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)""",
         "op7_pivot_top_k": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS DOUBLE)) AS code FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -277,6 +277,36 @@ def test_held_out_accuracy(spark):
     assert a.join(b.select("doc_id", F.col("score").alias("s")), "doc_id").where("score <> s").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["the", "The", "THE", "42", "a1!", "é", "ÉÀ", "x", "--", "\n", "word word"]), max_size=20).map(" ".join))
+def test_features_are_brute_force(text):
+    places, values = quality.features(np.frombuffer(text.encode(), np.uint8), 18)
+    assert dict(zip(places.tolist(), values.tolist())) == pytest.approx(brute.quality_features(text, 18), rel=1e-6)
+
+
+def test_training_and_scores_are_brute_force(spark):
+    """Weights of every coordinate, and the score of every document, from plain loops."""
+    settings_ = quality.Settings(max_rows=12, epochs=3)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.training_rows(docs, labels, settings_)
+    assert len(rows) == 12
+    weights, bias = quality.train(rows, settings_)
+    shuffle = np.random.default_rng(7)
+    orders = [range(12), *(shuffle.permutation(12).tolist() for _ in range(2))]
+    plain = [(dict(zip(p.tolist(), v.astype(float).tolist())), y) for p, v, y in rows]
+    want, want_bias = brute.follow_the_leader(plain, orders, settings_.alpha, settings_.beta, settings_.l1, settings_.l2)
+    assert bias == pytest.approx(want_bias, rel=1e-6)
+    assert {i: w for i, w in enumerate(weights.tolist()) if w} == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-4, abs=1e-7)
+    got = {r["doc_id"]: r for r in quality.score(docs, weights, bias, settings_.bits).collect()}
+    good = {r["doc_id"] for r in quality.keep_good(docs, weights, bias, settings_).collect()}
+    for r in docs.limit(40).collect():
+        x = sum(want.get(i, 0.0) * v for i, v in brute.quality_features(r["text"], settings_.bits).items()) + want_bias
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-4)
+        assert g["predicted"] == (g["score"] >= 0.5) == (r["doc_id"] in good)
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 1), (6, None), (9, 0), (None, 1), (8, 7)], "doc_id long, quality int")
     got = quality.classify(edge_docs, labels).collect()
@@ -325,6 +355,17 @@ def test_mix_is_brute_force(spark, edge_docs, no_docs):
     assert many.where("probability IS NULL").count() == 0
 
 
+def test_probabilities_are_brute_force(spark):
+    """Raked in plain loops, where no cell is asked for more than it has."""
+    rows = [(i, f"{'12 ' * (i % 4)}{'some words here ' * (5 + i % 9)}{'| ' * (i % 3)}", ["en", "fr", "de", "xx"][i * 7 % 4], f"s{i * i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = mixing.Targets(given={"lang": {"en": 0.5, "fr": 0.2}}, keep=0.15)
+    got = {r["doc_id"]: r["probability"] for r in mixing.mix(docs, targets).collect()}
+    want = brute.raked([(s_, g, t) for _, t, g, s_ in rows], targets.given, targets.power, targets.keep)
+    assert max(want) < 1
+    assert [got[i] for i in range(300)] == pytest.approx(want, rel=1e-4)
+
+
 def test_mixture_meets_its_targets(spark):
     """The registered mixture asks for more of the rare languages than four fifths of the tokens would hold."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -38,8 +38,8 @@ from lodestar.llm.common import clean_docs, text_column
 
 #: Fixed values of the file format: how byte-level files split texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a memory of pieces; it starts anew when it is full.
-MEMORY = 500_000
+#: Entries of the memories of pieces, of words in them and of pairs of tokens; each starts anew when it is full.
+MEMORY, WORDS, PAIRS = 400_000, 100_000, 1_000_000
 #: Longer pieces are encoded as they come and not remembered.
 REMEMBERED = 48
 #: Bytes of a text that are decoded at a time, and the ids of a long pre-token.
@@ -221,7 +221,7 @@ class Bpe:
                 x_until, x = rank[x], self.right[x]
             else:
                 y_until, y = rank[y], self.left[y]
-        if len(self._follows) > 2 * MEMORY:
+        if len(self._follows) > PAIRS:
             self._follows.clear()
         self._follows[a * self.size + b] = fine
         return fine
@@ -294,7 +294,7 @@ class Bpe:
             if (got := words.get(word)) is None:
                 got = array("I", self.transduce(self._parts(word))).tobytes()
                 if len(word) <= REMEMBERED:
-                    if len(words) > 2 * MEMORY:
+                    if len(words) > WORDS:
                         words.clear()
                     words[word] = got
             out.append(got)

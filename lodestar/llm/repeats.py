@@ -36,7 +36,7 @@ NULL_ID = np.iinfo(np.int64).max
 #: Raw bytes of texts for each bucket.
 BUCKET_BYTES = 4 << 20
 #: Bytes of different super-k-mers that a bucket compares at a time, if a single minimiser doesn't have more.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Hash bits and place bits of the keys whose minimum is a minimiser. Blocks of windows stay in a core's cache, and are
 #: smaller than the places.
 PLACE_BITS = 16

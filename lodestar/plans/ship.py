@@ -11,10 +11,15 @@ from pyspark.sql import SparkSession
 import lodestar
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch between Spark and Python, where the session has Spark's own default: long texts fill workers otherwise.
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH_BYTES = 12 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once an application."""
+    """Send the package's sources to the executors, once an application, and keep Arrow batches small."""
+    if spark.conf.get(BATCH, None) in (f"{DEFAULT_BATCH}b", str(DEFAULT_BATCH)):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

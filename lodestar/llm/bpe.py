@@ -38,8 +38,8 @@ from lodestar.llm.common import clean_docs, text_column
 
 #: Fixed values of the file format: how byte-level files split texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the memories of pieces, of words in them and of pairs of tokens; each starts anew when it is full.
-MEMORY, WORDS, PAIRS = 400_000, 100_000, 1_000_000
+#: Entries of the memories of pieces (and words in them) and of pairs of tokens; each starts anew when it is full.
+MEMORY, PAIRS = 500_000, 1_000_000
 #: Longer pieces are encoded as they come and not remembered.
 REMEMBERED = 48
 #: Bytes of a text that are decoded at a time, and the ids of a long pre-token.
@@ -202,7 +202,6 @@ class Bpe:
         self.special_splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._follows: dict[int, bool] = {}
         self._memory: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of a's bytes and b's bytes together is just a and b."""
@@ -289,13 +288,11 @@ class Bpe:
     def _piece(self, piece: str) -> bytes:
         """The ids of an independent piece as 32-bit integers."""
         out = []
-        words = self._words
+        words = self._memory  # a word is a piece too
         for word in [piece] if piece.isspace() else self.splitter.findall(piece):
             if (got := words.get(word)) is None:
                 got = array("I", self.transduce(self._parts(word))).tobytes()
                 if len(word) <= REMEMBERED:
-                    if len(words) > WORDS:
-                        words.clear()
                     words[word] = got
             out.append(got)
         return b"".join(out)

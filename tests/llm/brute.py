@@ -191,3 +191,20 @@ def raked(rows, given, power, keep, rounds=400):
                 sums[c[m]] += x
             now = {c: x * target[c[m]] / sums[c[m]] for c, x in now.items()}
     return [keep * total * now[c] / have[c] for c in cells]
+
+
+def capped(cells, targets, whole, rounds=300):
+    """Probabilities min(1, product of a factor of each value) of cells {key: tokens}; factors found by halving, one at a time."""
+    factors = [dict.fromkeys(t, 1.0) for t in targets]
+    p = lambda c: min(1.0, factors[0][c[0]] * factors[1][c[1]] * factors[2][c[2]])
+    for _ in range(rounds):
+        for m, target in enumerate(targets):
+            for v, share in target.items():
+                low, high = 0.0, 1e6
+                for _ in range(80):
+                    factors[m][v] = (low + high) / 2
+                    if sum(n * p(c) for c, n in cells.items() if c[m] == v) < share * whole:
+                        low = factors[m][v]
+                    else:
+                        high = factors[m][v]
+    return {c: p(c) for c in cells}

@@ -431,6 +431,34 @@ def test_wide_is_the_same(spark):
     assert [got[k] for k in keys] == pytest.approx(mixing.probabilities(keys, tokens, t).tolist(), abs=1e-2)
 
 
+def test_mix_is_the_same_at_any_size(spark):
+    """The number of cells decides where they are raked, not what comes out: equal to the bit, with cells at probability 1."""
+    rows = [(i, f"{'12 ' * (40 * (i % 10 == 0))}{'some words here ' * (i % 7)}", ["en", "en", "fr", "de", None, "xx"][i * 7 % 6], f"s{i * i % 5}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    given_ = {"lang": {"en": 0.3, "fr": 0.3, "xx": 0.0, "none": 1.0}}
+    here, wide = (mixing.mix(docs, mixing.Targets(given=given_, power=0.6, keep=0.9, most_values=n)) for n in (64, 2))
+    here, wide = ({r["doc_id"]: r for r in rows.collect()} for rows in (here, wide))
+    assert here == wide
+    p = [r["probability"] for r in here.values()]
+    assert max(p) == 1 and 0 in p and len(set(p)) == 5
+    assert {r["lang"] for r in here.values() if r["kept"]} == {"en", "fr", "de", None}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_capped_probabilities_are_brute_force(seed):
+    """Cells that reach probability 1, against factors found one by one; the order of cells doesn't matter to a bit."""
+    rnd = np.random.default_rng(seed)
+    keys = [(s, x, t) for s in "abc" for x in "de" for t in "fg"]
+    tokens = np.floor(10 ** rnd.uniform(1, 2, len(keys)))
+    t = mixing.Targets(given={"lang": {"d": 0.5, "e": 0.5}}, keep=0.7)
+    p = mixing.probabilities(keys, tokens, t)
+    some = rnd.permutation(len(keys))
+    assert mixing.probabilities([keys[i] for i in some], tokens[some], t).tolist() == p[some].tolist()
+    total, targets = mixing.margin_targets(keys, tokens, t)
+    want = brute.capped(dict(zip(keys, tokens)), targets, total, 60)
+    assert p == pytest.approx([want[k] for k in keys], abs=1e-5)
+
+
 # ---------------------------------------------------------------- queries, pipeline
 
 
